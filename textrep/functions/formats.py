@@ -23,11 +23,11 @@ def category_of_file(name: Column) -> Column:
 
 
 def human_bytes(size: Column) -> Column:
-    """Size with a 1024-step unit; plain bytes keep no decimals."""
+    """Size with a 1024-step unit, ties to even; plain bytes keep no decimals."""
     value = size.cast("double")
     text = F.when(value < 1024, F.format_string("%d B", size.cast("long")))
     for power, unit in enumerate(SIZE_UNITS[1:], start=1):
-        shown = F.format_string(f"%.2f {unit}", value / float(1024**power))
+        shown = F.format_string(f"%.2f {unit}", F.bround(value / float(1024**power), 2))
         text = text.otherwise(shown) if unit == SIZE_UNITS[-1] else text.when(value < 1024 ** (power + 1), shown)
     return text
 
@@ -37,7 +37,7 @@ def elapsed_text(seconds: Column) -> Column:
     total = seconds.cast("double")
     hours = F.floor(total / 3600)
     minutes = F.floor((total - hours * 3600) / 60)
-    rest = F.format_string("%05.2f", total - hours * 3600 - minutes * 60)
+    rest = F.format_string("%05.2f", F.bround(total - hours * 3600 - minutes * 60, 2))
     rest = F.regexp_replace(rest, r"\.?0+$", "")
     return F.when(
         hours > 0, F.format_string("%d:%02d:%s", hours, minutes, rest)

@@ -102,7 +102,7 @@ def grow_forest(
         F.col(key).alias("row_id"), F.col(vector).cast("array<double>").alias(vector),
         F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
     ).withColumn("pick", F.shiftrightunsigned(F.xxhash64("row_id", "tree", F.lit(seed)), 1))
-    chosen = pairs.filter(F.col("pick") <= int(cut * (2**63 - 1)))
+    chosen = pairs if cut >= 1.0 else pairs.filter(F.col("pick") <= int(cut * 2**63))
     return chosen.groupBy("tree").applyInPandas(_grow(seed, wanted, vector), NODE_SCHEMA)
 
 

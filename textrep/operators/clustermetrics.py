@@ -137,7 +137,7 @@ def silhouette_of_sample(
     size_of = F.element_at(F.create_map(*[F.lit(x) for i, r in enumerate(known) for x in (i, r["size"])]), F.col("other"))
     inside = F.col("own") == F.col("other")
     per_row = sums.withColumn("n", size_of).groupBy("row_id").agg(
-        F.max(F.when(inside, F.col("total") / (F.col("n") - 1))).alias("a"),
+        F.max(F.when(inside, F.try_divide("total", F.col("n") - 1))).alias("a"),
         F.min(F.when(~inside, F.col("total") / F.col("n"))).alias("b"),
         F.max(F.when(inside, F.col("n"))).alias("n"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus",)
+MODULES = ("corpus", "scores", "encoders", "models")
 
 
 def _merged(attribute: str) -> dict:
