@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.split and \s treat as white space,
-# as the body of a Java character class (Java's own \s is ASCII only).
-WHITESPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The characters Python's str.split and \s treat as white space (Java's \s is ASCII only).
+WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Only \n ends a match of "." in Python; Java's "." also stops at other line ends.
 TAG_PATTERN = r"<[^\n]*?>"
 # Maximal runs of two or more word characters.
@@ -17,10 +16,6 @@ WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MIN_LENGTH = 10
 MAX_TOKENS = 256
 
-# A single blank needs no replacement, so only runs and other white space match.
-_SPACE_RUN = rf" [{WHITESPACE}]+|[{WHITESPACE}&&[^ ]][{WHITESPACE}]*"
-
-
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -30,9 +25,14 @@ def replace_tags(text: Column | str, by: str = " ") -> Column:
     return F.regexp_replace(F.coalesce(_col(text), F.lit("")), TAG_PATTERN, by)
 
 
+def _blanked(text: Column | str) -> Column:
+    """Every white space character as a blank: one lookup per character, no pattern."""
+    return F.translate(F.coalesce(_col(text), F.lit("")), WHITESPACE, " " * len(WHITESPACE))
+
+
 def squeeze(text: Column | str) -> Column:
     """White space runs become one blank and the ends are trimmed."""
-    return F.btrim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), _SPACE_RUN, " "), F.lit(" "))
+    return F.trim(F.regexp_replace(_blanked(text), " {2,}", " "))
 
 
 def first_tokens(squeezed: Column | str, max_tokens: int | None = MAX_TOKENS) -> Column:
@@ -48,8 +48,7 @@ def clean_text(text: Column | str, max_tokens: int | None = MAX_TOKENS, tag: str
 
 def tokens(text: Column | str) -> Column:
     """Tokens between white space, case kept, without empty ones."""
-    pieces = F.split(F.coalesce(_col(text), F.lit("")), f"[{WHITESPACE}]+")
-    return F.array_remove(pieces, "")
+    return F.array_remove(F.split(_blanked(text), " "), "")
 
 
 def words(text: Column | str, stop_words: Sequence[str] = ()) -> Column:

@@ -54,6 +54,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by key when the input has fewer partitions than cores.
+
+    A file of one row group is read by one task. Larger inputs, which have more
+    splits than the cluster has cores, pass unchanged and without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that a lost executor never replays a long chain."""
     shared_dir(df.sparkSession)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textrep.functions.text import clean_text
+from textrep.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -12,7 +15,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as raw reviews: language as category, source as user."""
-    return table(spark, folder, "documents").select(
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    return spread(documents, "doc_id").select(
         F.col("doc_id").alias("row_id"),
         (F.pmod("doc_id", F.lit(5)) + 1.0).alias("rating"),
         "text",
@@ -24,8 +28,6 @@ def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 def review_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``(row_id, cleaned_text, ...)`` of every document, uncut and not filtered."""
-    from textrep.functions.text import clean_text
-
     raw = raw_reviews(spark, folder)
     return raw.withColumn("cleaned_text", clean_text("text", None))
 
@@ -36,7 +38,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     ``cluster`` is the place of the largest of the first ten entries and
     ``rating`` a rule on the label and the first entry.
     """
-    base = table(spark, folder, "embeddings")
+    base = spread(table(spark, folder, "embeddings"), "vec_id")
     scale = (F.pmod("vec_id", F.lit(3)) + 1).cast("double")
     head = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
     return base.select(
