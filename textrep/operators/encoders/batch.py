@@ -29,22 +29,19 @@ def hashing_encoder(dim: int = HASH_DIM) -> Callable[[], Encoder]:
     """
 
     def load() -> Encoder:
-        known: dict[str, tuple[int, int]] = {}
-
         def place(token: str) -> tuple[int, int]:
-            if token not in known:
-                if len(known) > 1_000_000:
-                    known.clear()
-                digest = hashlib.md5(token.encode("utf-8")).hexdigest()
-                known[token] = int(digest[:8], 16) % dim, -1 if int(digest[8], 16) % 2 else 1
-            return known[token]
+            digest = hashlib.md5(token.encode("utf-8")).hexdigest()
+            return int(digest[:8], 16) % dim, -1 if int(digest[8], 16) % 2 else 1
 
         def encode(texts: Sequence[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim), np.float64)
-            for i, text in enumerate(texts):
-                for token in text.split():
-                    slot, sign = place(token)
-                    out[i, slot] += sign
+            split = [text.split() for text in texts]
+            flat = [token for tokens in split for token in tokens]
+            number = {token: i for i, token in enumerate(dict.fromkeys(flat))}
+            places = np.array([place(token) for token in number] or [(0, 0)])
+            index = np.fromiter((number[token] for token in flat), np.int64, len(flat))
+            row = np.repeat(np.arange(len(texts)), [len(tokens) for tokens in split])
+            sums = np.bincount(row * dim + places[index, 0], places[index, 1], minlength=len(texts) * dim)
+            out = sums.reshape(len(texts), dim)
             length = np.linalg.norm(out, axis=1, keepdims=True)
             return (out / np.where(length > 0, length, 1.0)).astype(np.float32)
 

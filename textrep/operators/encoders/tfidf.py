@@ -20,7 +20,7 @@ from pyspark.ml.feature import (
     Normalizer,
     StopWordsRemover,
 )
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -37,6 +37,8 @@ MAX_FEATURES = 10_000
 COMPONENTS = 300
 OVERSAMPLE = 10
 POWER_STEPS = 5
+# Words whose partial sums travel as one row.
+WORDS_PER_BLOCK = 128
 SEED = 42
 
 
@@ -44,16 +46,25 @@ def english_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def fit_weights(
-    texts: DataFrame, max_features: int = MAX_FEATURES, stop_words: Sequence[str] | None = None, text: str = "text"
-) -> tuple[PipelineModel, list[str]]:
+def listed_words(
+    texts: DataFrame, stop_words: Sequence[str] | None = None, text: str = "text", keep: Sequence[str] = ("row_id",)
+) -> DataFrame:
+    """``keep`` columns plus the ``words`` of each text, stop words removed."""
+    found = texts.select(*keep, words(text).alias("found"))
+    remover = StopWordsRemover(
+        inputCol="found", outputCol="words", caseSensitive=True, locale="en_US",
+        stopWords=english_stop_words() if stop_words is None else list(stop_words),
+    )
+    return remover.transform(found).drop("found")
+
+
+def fit_weights(listed: DataFrame, max_features: int = MAX_FEATURES) -> tuple[PipelineModel, list[str]]:
     """Transformer from a ``words`` column to unit-length TF-IDF rows.
 
     The vocabulary is the ``max_features`` most frequent words (ties by word),
     so what reaches the driver is bounded by that parameter. The weight of a
     word is 1 + ln((1 + rows) / (1 + rows with the word)).
     """
-    listed = texts.select(words(text, english_stop_words() if stop_words is None else stop_words).alias("words"))
     top = ranked_vocabulary(token_counts(listed, "words"), max_features)
     vocab = [row.token for row in top.orderBy("id").select("token").collect()]
     counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="words", outputCol="counts")
@@ -64,12 +75,8 @@ def fit_weights(
     return PipelineModel([counter, scale, unit]), vocab
 
 
-def weigh(
-    model: PipelineModel, texts: DataFrame, stop_words: Sequence[str] | None = None,
-    text: str = "text", keep: Sequence[str] = ("row_id",),
-) -> DataFrame:
+def weigh(model: PipelineModel, listed: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """``keep`` columns plus the sparse row as ``indices`` and ``values``."""
-    listed = texts.select(*keep, words(text, english_stop_words() if stop_words is None else stop_words).alias("words"))
     parts = F.unwrap_udt("tfidf")
     return model.transform(listed).select(*keep, parts["indices"].alias("indices"), parts["values"].alias("values"))
 
@@ -99,7 +106,7 @@ def _row_slices(offsets: np.ndarray, entries: int = 16_384) -> Iterator[tuple[in
 
 
 def _gram_product(shared):
-    """Task function: the partition's share of (rows^T rows) basis, one row per word."""
+    """Task function: the partition's share of (rows^T rows) basis, in blocks of words."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis = shared.value
@@ -120,28 +127,35 @@ def _gram_product(shared):
                 starts = np.flatnonzero(np.r_[True, np.diff(idx[order]) > 0])
                 total[idx[order][starts]] += np.add.reduceat(val[order, None] * image[row_of], starts, axis=0)
         if seen:
-            touched = np.flatnonzero(np.abs(total).sum(axis=1))
+            padded = np.zeros((_blocks(len(basis)) * WORDS_PER_BLOCK, basis.shape[1]))
+            padded[: len(basis)] = total
+            flat = padded.reshape(_blocks(len(basis)), -1)
+            touched = np.flatnonzero(flat.any(axis=1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(touched, pa.int32()), list_array(total[touched], pa.float64())], names=["word", "part"]
+                [pa.array(touched, pa.int32()), list_array(flat[touched], pa.float64())], names=["block", "part"]
             )
 
     return scan
 
 
+def _blocks(features: int) -> int:
+    return -(-features // WORDS_PER_BLOCK)
+
+
 def _gram_step(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """(rows^T rows) basis: one scan, partial sums per task, one small shuffle."""
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(basis)
-    schema = "word int, part array<double>"
     # One partial matrix per task is shuffled, so many small splits are joined.
-    tasks = rows.select("indices", "values").coalesce(context.defaultParallelism * 2)
-    parts = tasks.mapInArrow(_gram_product(shared), schema)
-    summed = parts.groupBy("word").agg(Summarizer.sum(array_to_vector("part")).alias("total"))
-    table = summed.select("word", F.unwrap_udt("total")["values"].alias("total")).toArrow()
+    tasks = rows.select("indices", "values").coalesce(context.defaultParallelism)
+    parts = tasks.mapInArrow(_gram_product(shared), "block int, part array<double>")
+    summed = parts.groupBy("block").agg(Summarizer.sum(array_to_vector("part")).alias("total"))
+    table = summed.select("block", vector_to_array("total").alias("total")).toArrow()
     shared.unpersist()
-    result = np.zeros_like(basis)
+    flat = np.zeros((_blocks(len(basis)), WORDS_PER_BLOCK * basis.shape[1]))
     if table.num_rows:
-        result[table.column(0).to_numpy()] = matrix(table.column(1))
-    return result
+        flat[table.column(0).to_numpy()] = matrix(table.column(1))
+    return flat.reshape(-1, basis.shape[1])[: len(basis)]
 
 
 @dataclass
@@ -207,11 +221,12 @@ def encode(
 ) -> tuple[DataFrame, PipelineModel, Svd]:
     """Fit on the whole table and map every row; also returns the fitted parts.
 
-    The sparse rows are kept in memory or on local disk for the repeated scans
-    and are rebuilt from the table if an executor is lost.
+    Words and sparse rows are kept for the repeated scans, in memory or on the
+    executors' disks, and are rebuilt from the table if an executor is lost.
     """
-    stop_words = english_stop_words() if stop_words is None else list(stop_words)
-    model, vocab = fit_weights(texts, max_features, stop_words, text)
-    rows = weigh(model, texts, stop_words, text, keep).persist()
+    listed = listed_words(texts, stop_words, text, keep).persist()
+    model, vocab = fit_weights(listed, max_features)
+    rows = weigh(model, listed, keep).persist()
     svd = truncated_svd(rows, len(vocab), components)
+    listed.unpersist()
     return project(rows, svd, keep), model, svd

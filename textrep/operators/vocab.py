@@ -128,20 +128,13 @@ def cooccurrence(ids: DataFrame, window: int = 5) -> DataFrame:
     that the sums are whole numbers and do not depend on the order of adding.
     """
     unit = math.lcm(*range(1, window + 1))
-    size = F.size("ids")
-
-    def at_distance(d: int) -> Column:
-        def pair(later: Column, i: Column) -> Column:
-            earlier = F.get("ids", i)
-            return F.struct(
-                F.least(earlier, later).alias("low"), F.greatest(earlier, later).alias("high"),
-                F.lit(unit // d).cast("long").alias("part"),
-            )
-
-        return F.transform(F.slice("ids", F.lit(d + 1), F.greatest(size - d, F.lit(0))), pair)
-
-    by_distance = [at_distance(d) for d in range(1, window + 1)]
-    pairs = ids.select(F.explode(F.concat(*by_distance)).alias("p")).select("p.*")
+    far = ids.select("ids", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("d"))
+    count = F.greatest(F.size("ids") - F.col("d"), F.lit(0))
+    zipped = F.arrays_zip(F.slice("ids", F.lit(1), count).alias("a"), F.slice("ids", F.col("d") + 1, count).alias("b"))
+    pairs = far.select("d", F.inline(zipped).alias("a", "b")).select(
+        F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"),
+        F.expr(f"cast({unit} / d as long)").alias("part"),
+    )
     once = pairs.groupBy("low", "high").agg((F.sum("part") / F.lit(float(unit))).alias("value"))
     same = F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b"), (F.col("value") * 2).alias("v")))
     both = F.array(
