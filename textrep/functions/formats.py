@@ -39,9 +39,9 @@ def elapsed_text(seconds: Column) -> Column:
     minutes = F.floor((total - hours * 3600) / 60)
     rest = F.format_string("%05.2f", F.bround(total - hours * 3600 - minutes * 60, 2))
     rest = F.regexp_replace(rest, r"\.?0+$", "")
-    return F.when(
-        hours > 0, F.format_string("%d:%02d:%s", hours, minutes, rest)
-    ).otherwise(F.format_string("%d:%s", minutes, rest))
+    return F.when(hours > 0, F.format_string("%d:%02d:%s", hours, minutes, rest)).when(
+        hours.isNotNull(), F.format_string("%d:%s", minutes, rest)
+    )
 
 
 def duration_seconds(text: Column) -> Column:

@@ -39,9 +39,9 @@ def check_alignment(left: DataFrame, right: DataFrame, key: str = "row_id") -> D
     return per_key.agg(
         F.coalesce(F.sum("l"), F.lit(0)).alias("left_rows"),
         F.coalesce(F.sum("r"), F.lit(0)).alias("right_rows"),
-        F.count_if("r = 0").alias("only_left"),
-        F.count_if("l = 0").alias("only_right"),
-        F.count_if("l > 1 or r > 1").alias("repeated"),
+        F.count_if(F.expr("r = 0")).alias("only_left"),
+        F.count_if(F.expr("l = 0")).alias("only_right"),
+        F.count_if(F.expr("l > 1 or r > 1")).alias("repeated"),
         F.coalesce(F.every(F.expr("l = 1 and r = 1")), F.lit(True)).alias("ok"),
     )
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textrep.schema import EMBEDDING_META_SCHEMA, METRIC_SCHEMA
 
@@ -25,23 +26,26 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_embeddings(df: DataFrame, path: str, kind: str, total_rows: int, key: str = "row_id") -> DataFrame:
+def write_embeddings(
+    df: DataFrame, path: str, kind: str, total_rows: int, dim: int, at_most: bool = False
+) -> DataFrame:
     """Write ``(row_id, ..., embedding)`` and then its completion record.
 
-    The counts are observed while the rows are written. The record is written
-    last, so an interrupted job leaves a table without one.
+    A vector of another width fails the job while it is written. The record is
+    written last, so an interrupted job leaves a table without one; its row
+    count comes from the Parquet footers.
     """
     spark = df.sparkSession
-    seen = Observation()
-    watched = df.observe(
-        seen, F.count(F.lit(1)).alias("rows"), F.min(F.size("embedding")).alias("lo"), F.max(F.size("embedding")).alias("hi")
-    )
+    width = F.size("embedding")
+    fits = width.between(1, dim) if at_most else width == dim
+    problem = F.concat(F.lit(f"{path}: {dim} entries expected, found "), width.cast("string"))
+    checked = df.withColumn("embedding", F.when(fits, F.col("embedding")).otherwise(F.raise_error(problem)))
     spark.createDataFrame([], EMBEDDING_META_SCHEMA).write.mode("overwrite").json(meta_path(path))
-    watched.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    got = seen.get
-    if got["lo"] != got["hi"]:
-        raise ValueError(f"{path}: vectors of {got['lo']} to {got['hi']} entries")
-    record = (kind, path, got["rows"], total_rows, got["hi"], got["rows"] >= total_rows)
+    checked.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    stored = spark.read.parquet(path)
+    rows = stored.count()
+    first = stored.select(width.alias("n")).first()
+    record = (kind, path, rows, total_rows, first.n if first else dim, rows >= total_rows)
     meta = spark.createDataFrame([record], EMBEDDING_META_SCHEMA)
     meta.write.mode("overwrite").json(meta_path(path))
     return meta
@@ -65,7 +69,7 @@ def materialize(
     """The stored table, built only when no fitting one exists; tells if it was reused."""
     reuse = not force and reusable(spark, path, total_rows, dim, at_most)
     if not reuse:
-        write_embeddings(build(), path, kind, total_rows)
+        write_embeddings(build(), path, kind, total_rows, dim, at_most)
     return spark.read.parquet(path), reuse
 
 
@@ -90,38 +94,28 @@ def overlay(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def upsert_metrics(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
-    """Metric rows merged into a stored table and written to a new version of it.
+def read_latest(spark: SparkSession, path: str, schema) -> tuple[DataFrame, int]:
+    """Rows and number of the newest version of a small table, (empty, 0) when new."""
+    empty = spark.createDataFrame([], schema)
+    versions = read_or_empty(spark, path, T.StructType([*empty.schema.fields, T.StructField("v", T.IntegerType())]))
+    newest = versions.agg(F.max("v")).first()[0]
+    return (empty, 0) if newest is None else (versions.filter(F.col("v") == newest).drop("v"), newest)
 
-    Versions are numbered folders: a failed write leaves the last good one.
-    """
-    versions = read_versions(spark, path)
-    old = read_or_empty(spark, f"{path}/v={versions}", METRIC_SCHEMA) if versions else spark.createDataFrame([], METRIC_SCHEMA)
-    merged = upsert(old, new.select(*METRIC_SCHEMA.names), ("encoder", "task", "metric"))
-    target = f"{path}/v={versions + 1}"
-    merged.write.mode("overwrite").json(target)
-    return spark.read.schema(METRIC_SCHEMA).json(target)
 
+def write_next(df: DataFrame, path: str, version: int) -> None:
+    """The version after ``version``: one file that appears in a single rename."""
+    df.coalesce(1).write.mode("overwrite").json(f"{path}/v={version + 1}")
 
-def read_versions(spark: SparkSession, path: str) -> int:
-    """Number of the newest finished version, 0 when there is none."""
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option(
-            "recursiveFileLookup", "true").load(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error.getCondition()):
-            raise
-        return 0
-    number = F.regexp_extract("path", r"/v=(\d+)/", 1).try_cast("int")
-    return files.agg(F.max(number)).first()[0] or 0
+
+def upsert_metrics(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """Metric rows merged into a stored table; a failed write leaves the last version."""
+    old, version = read_latest(spark, path, METRIC_SCHEMA)
+    write_next(upsert(old, new.select(*METRIC_SCHEMA.names), ("encoder", "task", "metric")), path, version)
+    return read_metrics(spark, path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a metric table, empty when there is none."""
-    versions = read_versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], METRIC_SCHEMA)
-    return spark.read.schema(METRIC_SCHEMA).json(f"{path}/v={versions}")
+    return read_latest(spark, path, METRIC_SCHEMA)[0]
 
 
 def write_sorted_csv(df: DataFrame, path: str, *order) -> None:

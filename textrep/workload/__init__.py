@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus", "scores", "encoders", "models")
+MODULES = ("corpus", "scores", "encoders", "models", "reports")
 
 
 def _merged(attribute: str) -> dict:
