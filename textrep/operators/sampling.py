@@ -26,16 +26,20 @@ def hash_order(key: str | Column, seed: int = SEED) -> Column:
     return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, HASH_DIGITS)
 
 
-def take_quota(
+def mark_quota(
     df: DataFrame,
     quotas: DataFrame | int,
     group: Sequence[str] = (),
     key: str = "row_id",
     seed: int = SEED,
+    flag: str = "taken",
 ) -> DataFrame:
-    """The first ``quota`` rows of every group in hash order.
+    """Every row with a flag: among the first ``quota`` of its group in hash order.
 
     ``quotas`` is one number for all groups or a table ``(group..., quota)``.
+    The table of wanted buckets (4,096 per group) is counted first, so its size
+    is known when the join is planned: it is broadcast when it is small, and
+    the rows themselves are then not shuffled, but for the crossing buckets.
     """
     group = list(group)
     hashed = df.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
@@ -46,15 +50,27 @@ def take_quota(
         counts = counts.join(quotas.select(*group, F.col("quota").cast("long")), group)
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    wanted = counts.withColumn("_left", F.col("quota") - taken).filter("_left > 0")
-    whole = wanted.filter("_left >= _n").select(*group, "_b")
-    crossing = wanted.filter("_left < _n").select(*group, "_b", "_left")
-    rank = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", key))
+    wanted = counts.withColumn("_left", F.col("quota") - taken).filter("_left > 0").drop("quota").persist()
+    wanted.count()
     on = [*group, "_b"]
+    joined = hashed.join(wanted, on, "left")
+    crosses = F.coalesce(F.col("_left") < F.col("_n"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*on).orderBy("_h", key))
     columns = [F.col(c) for c in df.columns]
-    full = hashed.join(whole, on, "left_semi").select(*columns)
-    part = hashed.join(crossing, on).withColumn("_r", rank).filter("_r <= _left").select(*columns)
-    return full.unionByName(part)
+    sure = joined.filter(~crosses).select(*columns, F.col("_left").isNotNull().alias(flag))
+    part = joined.filter(crosses).withColumn("_r", rank).select(*columns, (F.col("_r") <= F.col("_left")).alias(flag))
+    return sure.unionByName(part)
+
+
+def take_quota(
+    df: DataFrame,
+    quotas: DataFrame | int,
+    group: Sequence[str] = (),
+    key: str = "row_id",
+    seed: int = SEED,
+) -> DataFrame:
+    """The first ``quota`` rows of every group in hash order."""
+    return mark_quota(df, quotas, group, key, seed, "_taken").filter("_taken").drop("_taken")
 
 
 def uniform_sample(df: DataFrame, size: int, key: str = "row_id", seed: int = SEED) -> DataFrame:
@@ -114,9 +130,8 @@ def train_test_split(
     """Stratified split with ``ceil(share * n)`` test rows; null targets are dropped."""
     valid = df.filter(F.col(target).isNotNull())
     size = math.ceil(test_share * valid.count())
-    test = stratified_sample(valid, target, size, key, seed)
-    train = valid.join(test.select(key), key, "left_anti")
-    return train, test
+    marked = mark_quota(valid, stratified_quotas(valid, target, size), (target,), key, seed, "_test")
+    return marked.filter(~F.col("_test")).drop("_test"), marked.filter("_test").drop("_test")
 
 
 def first_per_group(

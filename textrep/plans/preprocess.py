@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textrep.functions.formats import category_of_file
 from textrep.functions.text import MAX_TOKENS, MIN_LENGTH, long_enough
 from textrep.operators.dedup import first_of_each
+from textrep.operators.preprocess import evaluated_once
 from textrep.operators.sampling import first_per_group
 from textrep.schema import CLEANED_SCHEMA
 from textrep.sources.reviews import POSITION, normalize, read_reviews, write_table
@@ -33,7 +34,7 @@ def preprocess(
     # them cannot ship fitted ML models to its tasks.
     raw = read_reviews(spark.newSession(), raw_folder)
     seen = Observation()
-    cleaned = normalize(raw, max_tokens)
+    cleaned = evaluated_once(normalize(raw, max_tokens), "cleaned_text")
     short = F.count_if(~long_enough("cleaned_text", min_length)).alias("short")
     kept = cleaned.observe(seen, short).filter(long_enough("cleaned_text", min_length))
     if deduplicate:
