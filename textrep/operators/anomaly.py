@@ -178,14 +178,20 @@ def rating_predictions(
     df: DataFrame, keep: Sequence[str] = ("row_id",), rating: str = "rating", vector: str = "embedding",
     l2: float = L2,
 ) -> DataFrame:
-    """``keep`` columns, ``predicted_rating`` and ``rating_residual`` of a linear model."""
+    """``keep`` columns, ``predicted_rating`` and ``rating_residual`` of a linear model.
+
+    The model minimises the mean of half the squared error plus ``l2`` / 2 times
+    the squared weights. Spark scales the label to unit deviation first, so its
+    parameter is ``l2`` times that deviation.
+    """
     rows = df.select(
         *keep, F.col(rating).cast("double").alias("_y"),
         array_to_vector(F.col(vector).cast("array<double>")).alias("_features"),
     )
+    deviation = rows.agg(F.stddev_pop("_y")).first()[0] or 1.0
     model = LinearRegression(
         featuresCol="_features", labelCol="_y", predictionCol="predicted_rating",
-        regParam=l2, elasticNetParam=0.0, standardization=False, solver="normal",
+        regParam=l2 * deviation, elasticNetParam=0.0, standardization=False, solver="normal",
     ).fit(rows.filter("_y is not null").select("_features", "_y"))
     return model.transform(rows).select(
         *keep, "predicted_rating", F.abs(F.col("_y") - F.col("predicted_rating")).alias("rating_residual")
