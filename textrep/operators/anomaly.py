@@ -141,11 +141,8 @@ def _normality(shared, keep: int, names: list[str]):
     return scan
 
 
-def forest_scores(
-    df: DataFrame, nodes: DataFrame, rows_per_tree: int, keep: Sequence[str] = ("row_id",), vector: str = "embedding"
-) -> DataFrame:
-    """``keep`` columns plus ``normality`` for every row of the table."""
-    shared = df.sparkSession.sparkContext.broadcast((_forest_arrays(nodes), float(average_path(rows_per_tree))))
+def forest_scores(df: DataFrame, shared, keep: Sequence[str] = ("row_id",), vector: str = "embedding") -> DataFrame:
+    """``keep`` columns plus ``normality`` for every row, given a broadcast forest."""
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("normality", T.DoubleType())])
     rows = df.select(*keep, F.col(vector).cast("array<double>"))
     return rows.mapInArrow(_normality(shared, len(keep), list(keep)), schema)
@@ -161,10 +158,14 @@ def isolation_scores(
     total = df.count()
     sample = uniform_sample(df.select(key, vector), fit_sample, key, seed).persist()
     fitted = min(fit_sample, total)
-    nodes = grow_forest(sample, fitted, trees, rows_per_tree, key, vector, seed).persist()
-    per_tree = min(rows_per_tree, fitted)
-    offset = quantile(forest_scores(sample, nodes, per_tree, (key,), vector), "normality", contamination)
-    scored = forest_scores(df, nodes, per_tree, keep, vector)
+    nodes = grow_forest(sample, fitted, trees, rows_per_tree, key, vector, seed)
+    usual = float(average_path(min(rows_per_tree, fitted)))
+    shared = df.sparkSession.sparkContext.broadcast((_forest_arrays(nodes), usual))
+    fit_scores = forest_scores(sample, shared, (key,), vector).select("normality").persist()
+    offset = quantile(fit_scores, "normality", contamination)
+    fit_scores.unpersist()
+    sample.unpersist()
+    scored = forest_scores(df, shared, keep, vector)
     return scored.select(*keep, (F.col("normality") - offset).alias("iso_score"))
 
 

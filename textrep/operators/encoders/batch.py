@@ -69,4 +69,6 @@ def encode(
         return predict
 
     vector = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    # Declared non-deterministic so that a later filter never runs the model twice.
+    vector = vector.asNondeterministic()
     return texts.select(*keep, vector(F.coalesce(F.col(text), F.lit(""))).alias("embedding"))

@@ -14,7 +14,7 @@ from textrep.operators.vocab import label_codes
 # Test share, penalty and iterations of the classifier.
 TEST_SHARE = 0.2
 L2 = 1e-4
-ITERATIONS = 50
+ITERATIONS = 25
 
 
 def probe_predictions(

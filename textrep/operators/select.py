@@ -16,8 +16,18 @@ def _finite(df: DataFrame, column: str) -> DataFrame:
     return df.select(value.alias("v")).filter(value.isNotNull() & ~F.isnan(value))
 
 
+def _range(values: DataFrame) -> tuple[float, float, int]:
+    return tuple(values.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first())
+
+
 def nth_smallest(df: DataFrame, column: str, position: int) -> float:
-    """Value at zero-based ``position`` of the ascending order.
+    """Value at zero-based ``position`` of the ascending order."""
+    values = _finite(df, column)
+    return _narrow(values, position, *_range(values))
+
+
+def _narrow(values: DataFrame, position: int, lo: float, hi: float, count: int) -> float:
+    """Search for the position among ``count`` values from ``lo`` to ``hi``.
 
     Every round counts the candidates in equal-width bins (map-side partial
     sums, at most ``BINS`` result rows) and keeps the bin that holds the
@@ -25,8 +35,6 @@ def nth_smallest(df: DataFrame, column: str, position: int) -> float:
     round shrinks the range; the loop ends when it is a single value or few
     enough rows remain to look at.
     """
-    values = _finite(df, column)
-    lo, hi, count = values.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
     if not 0 <= position < count:
         raise ValueError(f"position {position} outside 0..{count - 1}")
     left = position
@@ -57,13 +65,15 @@ def nth_smallest(df: DataFrame, column: str, position: int) -> float:
 
 def quantile(df: DataFrame, column: str, share: float) -> float:
     """Linearly interpolated quantile over the finite values."""
-    count = _finite(df, column).count()
+    values = _finite(df, column)
+    lo, hi, count = _range(values)
     place = share * (count - 1)
     below = math.floor(place)
-    low = nth_smallest(df, column, below)
+    low = _narrow(values, below, lo, hi, count)
     if place == below:
         return low
-    high = nth_smallest(df, column, below + 1)
+    upto, above = values.agg(F.count_if(F.col("v") <= low), F.min(F.when(F.col("v") > low, F.col("v")))).first()
+    high = low if upto > below + 1 else above
     return low + (high - low) * (place - below)
 
 
@@ -75,6 +85,7 @@ def flag_low(df: DataFrame, column: str, share: float, flag: str = "flagged") ->
 
 def flag_high(df: DataFrame, column: str, share: float, flag: str = "flagged") -> tuple[DataFrame, float]:
     """The top ``share`` of the rows (at least one) is flagged, ties included."""
-    count = _finite(df, column).count()
-    threshold = nth_smallest(df, column, count - max(1, int(count * share)))
+    values = _finite(df, column)
+    lo, hi, count = _range(values)
+    threshold = _narrow(values, count - max(1, int(count * share)), lo, hi, count)
     return df.withColumn(flag, F.col(column) >= F.lit(threshold)), threshold

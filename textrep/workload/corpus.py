@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textrep.functions import text as tx
 from textrep.functions.formats import category_of_file
 from textrep.operators import sampling, stats, vocab
+from textrep.operators.clustering import distinct_labels
 from textrep.operators.dedup import first_of_each, unseen
 from textrep.operators.preprocess import clean_reviews, clean_reviews_legacy, preprocess_statistics
 from textrep.sources.reviews import normalize, read_reviews
@@ -244,12 +245,33 @@ pairs AS (SELECT a.id AS a, b.id AS b, 60 // (b.p - a.p) AS w FROM ids a JOIN id
 both_ways AS (SELECT a, b, w FROM pairs UNION ALL SELECT b, a, w FROM pairs)
 SELECT a AS row_id, b AS col_id, round(sum(w) / 60.0, 6) AS value FROM both_ways GROUP BY 1, 2""")
 def cooccurrence(spark, folder):
-    texts = review_texts(spark, folder).select("row_id", tx.tokens("cleaned_text").alias("tokens"))
+    texts = review_texts(spark, folder).select("row_id", tx.tokens("cleaned_text").alias("tokens")).persist()
     top = vocab.ranked_vocabulary(vocab.token_counts(texts, "tokens"), 50_000, 5)
     cells = vocab.cooccurrence(vocab.token_ids(texts, "tokens", top))
     return cells.withColumn("value", F.round("value", 6))
 
 
+@query("SELECT lang AS class, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS code, (SELECT count(DISTINCT lang) FROM documents) AS classes "
+       "FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def class_list(spark, folder):
+    """Sorted classes with their numbers, and how many there are."""
+    docs = table(spark, folder, "documents")
+    listed = vocab.label_codes(docs.select("lang").filter("lang is not null").distinct(), "lang")
+    return listed.select(F.col("lang").alias("class"), "code", F.lit(distinct_labels(docs, "lang")).cast("long").alias("classes"))
+
+
+@query("SELECT 'documents' AS name, count(*) AS rows, 'doc_id,text,lang,source,n_chars' AS columns FROM documents "
+       "UNION ALL SELECT 'lineitem', count(*), 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,"
+       "l_returnflag,l_linestatus,l_shipdate' FROM lineitem")
+def table_shape(spark, folder):
+    """Row counts from the file footers, and the column names."""
+    parts = [
+        df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.lit(",".join(df.columns)).alias("columns"))
+        for name, df in ((n, table(spark, folder, n)) for n in ("documents", "lineitem"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("""WITH coded AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN source END AS label FROM documents),
 ranks AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS code FROM coded WHERE label IS NOT NULL GROUP BY label)
 SELECT doc_id, c.label, CAST(coalesce(code, -1) AS INTEGER) AS code FROM coded c LEFT JOIN ranks r ON c.label = r.label""")
