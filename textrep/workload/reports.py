@@ -9,6 +9,7 @@ from textrep.functions.formats import duration_seconds, elapsed_text, human_byte
 from textrep.operators import report
 from textrep.operators.encoders import batch, tfidf
 from textrep.plans.encode import load_svd, save_svd
+from textrep.plans.job import run
 from textrep.plans.preprocess import preprocess
 from textrep.session import work_path
 from textrep.sources import reviews, store
@@ -313,6 +314,22 @@ def preprocess_job(spark, folder):
         F.count(F.lit(1)).alias("rows"), F.sum(F.length("cleaned_text")).alias("chars"))
 
 
+@query(f"""WITH {CLEANED_SQL}, n AS (SELECT count(*) AS rows FROM kept) SELECT 'HASHING' AS encoder, rows, 64 AS dim,
+CASE WHEN rows * 256 < 1048576 THEN printf('%.2f KB', rows * 256 / 1024.0::DOUBLE) ELSE printf('%.2f MB', rows * 256 / 1048576.0::DOUBLE) END AS file_size,
+least(rows, 50000) AS umap_sample_size, true AS complete FROM n""")
+def analysis_job(spark, folder):
+    """All stages and tasks of the job with the hashing encoder."""
+    source, output = work_path(spark, "raw"), work_path(spark, "out")
+    raw_reviews(spark, folder).select("rating", "text", "user_id").write.json(source)
+    _as_jsonl(spark, source)
+    rows = run(spark, source, output, encoders=["hashing"], minimum_rows=1)
+    measured = [c for c in rows.columns if c not in ("device",)]
+    complete = F.lit(True)
+    for column in measured:
+        complete = complete & F.col(f"`{column}`").isNotNull()
+    return rows.select("encoder", "rows", "dim", "file_size", "umap_sample_size", complete.alias("complete"))
+
+
 def _as_jsonl(spark, folder: str) -> None:
     """Spark names its JSON files .json; the raw layout expects .jsonl."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
