@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 
 from textrep.operators.clustermetrics import agreement, contingency, silhouette
 from textrep.operators.sampling import SEED, uniform_sample
+from textrep.session import work_path
 
 # Rows of one mini batch and passes over the table.
 BATCH_ROWS = 16_384
 PASSES = 1
+MAX_BATCHES = 64
 
 
 def distinct_labels(df: DataFrame, label: str) -> int:
@@ -55,22 +57,27 @@ def mini_batch_kmeans(
 ) -> DataFrame:
     """``keep`` columns plus ``cluster`` after sequential mini-batch updates.
 
-    The table is cut into hash batches; each batch moves the centres (k vectors)
-    towards its cluster means, weighted by the rows seen so far, and finally
-    every row gets its nearest centre. Only k sums per batch reach the driver.
+    The table is written once in hash batches, one folder each, so that a step
+    reads its own batch only. A batch moves the centres (k vectors) towards its
+    cluster means, weighted by the rows seen so far; finally every row gets its
+    nearest centre. Only k means per batch reach the driver. ``batch_rows`` is
+    a minimum: a large table has at most ``MAX_BATCHES`` steps per pass.
     """
     context = df.sparkSession.sparkContext
     rows = df.withColumn("_v", F.col(vector).cast("array<double>"))
     total = rows.count()
-    batches = max(1, math.ceil(total / batch_rows))
+    batches = min(MAX_BATCHES, max(1, math.ceil(total / batch_rows)))
     start = uniform_sample(rows.select(key, "_v"), k, key, seed).orderBy(key).collect()
     centres = np.array([r["_v"] for r in start], np.float64)
     weight = np.zeros(len(centres))
-    numbered = rows.withColumn("_batch", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(batches))).persist()
+    path = work_path(df.sparkSession, "batches")
+    number_of = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(batches)).cast("int")
+    rows.select("_v", number_of.alias("_batch")).write.partitionBy("_batch").parquet(path)
+    stored = df.sparkSession.read.schema("_v array<double>, _batch int").parquet(path)
     for _ in range(passes):
         for number in range(batches):
             shared = context.broadcast(centres)
-            part = numbered.filter(F.col("_batch") == number) if batches > 1 else numbered
+            part = stored.filter(F.col("_batch") == number)
             means = (
                 part.select("_v", _nearest_centre(shared)("_v").alias("cluster"))
                 .groupBy("cluster")
@@ -83,7 +90,6 @@ def mini_batch_kmeans(
                 weight[row.cluster] += row.n
                 centres[row.cluster] += (np.array(row.m) - centres[row.cluster]) * (row.n / weight[row.cluster])
             shared.unpersist()
-    numbered.unpersist()
     final = context.broadcast(centres)
     return rows.select(*keep, _nearest_centre(final)("_v").alias("cluster"))
 

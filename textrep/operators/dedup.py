@@ -35,10 +35,10 @@ def first_of_each(
 
 
 def unseen(new: DataFrame, existing: DataFrame, keys: Sequence[str] = DEDUP_KEYS) -> DataFrame:
-    """Rows of ``new`` whose key is not yet in ``existing`` (incremental load).
+    """Rows of ``new`` whose key is not yet in ``existing``.
 
-    The existing side is reduced to distinct keys first; a hot key there costs
-    one row, and the anti join never multiplies rows on the new side.
+    The existing side is reduced to distinct keys first, so a hot key there
+    costs one row.
     """
     names = [f"_seen_{i}" for i in range(len(keys))]
     old = existing.select(
@@ -49,3 +49,14 @@ def unseen(new: DataFrame, existing: DataFrame, keys: Sequence[str] = DEDUP_KEYS
     for column, name in zip(key_columns(new, keys), names):
         condition = condition & (column == F.col(name))
     return new.withColumn("_key_hash", key_hash(new, keys)).join(old, condition, "left_anti").drop("_key_hash")
+
+
+def first_unseen(
+    new: DataFrame, existing: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = DEDUP_KEYS
+) -> DataFrame:
+    """Incremental load: the first copy of every key that is not yet loaded.
+
+    Copies are removed before the join, so that a hot key among the new rows
+    is one row when it is shuffled.
+    """
+    return unseen(first_of_each(new, order, keys), existing, keys)

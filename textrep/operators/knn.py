@@ -21,6 +21,8 @@ from textrep.functions.vectors import matrix
 
 BLOCK_BYTES = 64 << 20
 CHUNK = 1024
+# Vector entries that are gathered at once to compute the costs of listed pairs.
+PAIR_VALUES = 4 << 20
 
 _SCHEMA = "query_id long, row_id long, score double"
 
@@ -40,16 +42,30 @@ def _first_k(query: np.ndarray, row: np.ndarray, cost: np.ndarray, k: int):
     return query[best], row[best], cost[best]
 
 
+def _exact_cost(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """Costs of listed pairs, a bounded number of pairs at a time."""
+    cost = np.empty(len(q))
+    step = max(1, PAIR_VALUES // queries.shape[1])
+    for start in range(0, len(q), step):
+        part = slice(start, start + step)
+        a, b = queries[q[part]], vectors[r[part]]
+        cost[part] = -np.einsum("ij,ij->i", a, b) if metric == "cosine" else ((a - b) ** 2).sum(axis=1)
+    return cost
+
+
 def _nearest_in_task(shared, k: int, metric: str):
     """Task function: best ``k`` rows per query over all batches of a partition.
 
     Products pick the candidates with a small tolerance; their costs are then
     computed again pair by pair, so equal vectors have equal costs everywhere.
+    A candidate behind the current last hit of its query, by cost or by row id
+    among equals, is dropped at once, so a large group of copies adds no state.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         worst = np.full(len(ids), np.inf)
+        worst_row = np.full(len(ids), np.iinfo(np.int64).max)
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         square = (queries * queries).sum(axis=1)
         for batch in batches:
@@ -72,18 +88,16 @@ def _nearest_in_task(shared, k: int, metric: str):
                         limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
                     q, r = np.nonzero(rough <= (limit + slack)[:, None])
                     q = q + q0
-                    if metric == "cosine":
-                        cost = -np.einsum("ij,ij->i", queries[q], vectors[r])
-                    else:
-                        cost = ((queries[q] - vectors[r]) ** 2).sum(axis=1)
-                    found.append((q, rows[r], cost))
+                    cost = _exact_cost(queries, vectors, q, r, metric)
+                    ahead = (cost < worst[q]) | ((cost == worst[q]) & (rows[r] < worst_row[q]))
+                    found.append((q[ahead], rows[r[ahead]], cost[ahead]))
                 best = _first_k(*(np.concatenate(c) for c in zip(*found)), k)
-                query, _, cost = best
+                query, row, cost = best
                 if len(query):
                     last = np.flatnonzero(np.r_[query[1:] != query[:-1], True])
                     first = np.r_[0, last[:-1] + 1]
-                    full = (last - first + 1) == k
-                    worst[query[last[full]]] = cost[last[full]]
+                    full = last[(last - first + 1) == k]
+                    worst[query[full]], worst_row[query[full]] = cost[full], row[full]
         query, row, cost = best
         score = -cost if metric == "cosine" else cost
         yield pa.RecordBatch.from_arrays(

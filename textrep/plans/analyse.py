@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textrep.operators import anomaly, clustering, histogram, probe, projection, report, retrieval
 from textrep.operators.classification import confusion_wide
 from textrep.plans.encode import read_run_summary
+from textrep.session import spread
 from textrep.sources.runlogs import encoder_runtimes, read_log_lines
 from textrep.sources.store import read_meta, read_metrics, upsert_metrics, write_sorted_csv
 
@@ -19,7 +20,7 @@ WIDE_CLASSES = 100
 
 
 def vector_table(spark: SparkSession, folder: str, encoder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{encoder}")
+    return spread(spark.read.parquet(f"{folder}/{encoder}"), "row_id")
 
 
 def _store(spark: SparkSession, results: str, encoder: str, task: str, row: DataFrame) -> None:

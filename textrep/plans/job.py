@@ -13,6 +13,7 @@ from textrep.operators.encoders import batch, glove, tfidf, w2v
 from textrep.operators.report import SAMPLE_ROWS, require_rows, verdict
 from textrep.plans import analyse, encode
 from textrep.plans.preprocess import preprocess
+from textrep.session import spread
 
 STAGES = ("preprocess", "embeddings", "analysis")
 
@@ -45,8 +46,8 @@ def run(
     table, folder, results = f"{out}/cleaned", f"{out}/embeddings", f"{out}/results"
     if "preprocess" in stages:
         preprocess(spark, raw, table, rows_per_category=rows_per_category)
-    texts = spark.read.parquet(table)
-    require_rows(texts, minimum_rows)
+    require_rows(spark.read.parquet(table), minimum_rows)
+    texts = spread(spark.read.parquet(table), "row_id")
     builds = default_builds(texts, f"{out}/models", **build_options)
     encoders = list(encoders or builds)
     if "embeddings" in stages:

@@ -8,7 +8,7 @@ from textrep.functions import text as tx
 from textrep.functions.formats import category_of_file
 from textrep.operators import sampling, stats, vocab
 from textrep.operators.clustering import distinct_labels
-from textrep.operators.dedup import first_of_each, unseen
+from textrep.operators.dedup import first_unseen
 from textrep.operators.preprocess import clean_reviews, clean_reviews_legacy, preprocess_statistics
 from textrep.sources.reviews import normalize, read_reviews
 from textrep.session import work_path
@@ -107,7 +107,7 @@ def incremental_dedup(spark, folder):
     docs = table(spark, folder, "documents")
     old, new = docs.filter("lang = 'en'"), docs.filter("lang <> 'en'")
     keys = ("source", "text")
-    return first_of_each(unseen(new, old, keys), ["doc_id"], keys).select("doc_id")
+    return first_unseen(new, old, ["doc_id"], keys).select("doc_id")
 
 
 @query("SELECT lang AS category, count(*) AS n FROM documents GROUP BY 1")
