@@ -282,7 +282,10 @@ def test_job_end_to_end(spark, folder, tmp_path):
     run(spark, str(raw), out, stages=("embeddings",), **options)
     from textrep.plans.encode import read_run_summary
 
-    assert all(r.reused and r.elapsed for r in read_run_summary(spark, f"{out}/embeddings").collect())
+    run(spark, str(raw), out, stages=("embeddings",), encoders=["lost"], word_vectors={"lost": str(tmp_path / "no")})
+    rows = {r.encoder: r for r in read_run_summary(spark, f"{out}/embeddings").collect()}
+    assert rows.pop("lost").skipped
+    assert all(r.reused and r.elapsed for r in rows.values())
 
 
 def test_tasks_need_no_installed_package(tmp_path):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textrep.functions.formats import human_bytes
 from textrep.schema import METRIC_SCHEMA, REQUIRED_COLUMNS
+from textrep.sources.runlogs import CLOCK_SOURCE, TIMER_SOURCE
 
 # Metric names that are settings, encoders that run without a GPU,
 # and the row gates of a sample and a full run.
@@ -153,7 +154,7 @@ def efficiency(meta: DataFrame, run_summary: DataFrame, log_runtimes: DataFrame)
         F.col("source").alias("log_source"),
     )
     joined = meta.join(run, "encoder", "left").join(log, "encoder", "left")
-    use_log = F.coalesce(F.col("log_source") == "time -v", F.lit(False)) | F.col("run_elapsed").isNull()
+    use_log = F.coalesce(F.col("log_source") == CLOCK_SOURCE, F.lit(False)) | F.col("run_elapsed").isNull()
     size = payload_bytes(F.col("rows"), F.col("dim"))
     return joined.select(
         "encoder", "rows", "dim", size.alias("bytes"), human_bytes(size).alias("file_size"),
@@ -161,7 +162,7 @@ def efficiency(meta: DataFrame, run_summary: DataFrame, log_runtimes: DataFrame)
         F.coalesce("run_device", F.when(F.lower("encoder").isin(*CPU_ENCODERS), "cpu")).alias("device"),
         F.when(use_log, F.col("log_elapsed")).otherwise(F.col("run_elapsed")).alias("elapsed"),
         F.when(use_log, F.col("log_seconds")).otherwise(F.col("run_seconds")).alias("elapsed_seconds"),
-        F.when(use_log, F.col("log_source")).otherwise(F.lit("internal timer")).alias("source"),
+        F.when(use_log, F.col("log_source")).otherwise(F.lit(TIMER_SOURCE)).alias("source"),
     )
 
 

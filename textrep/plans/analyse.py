@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +73,29 @@ def run_anomaly(spark: SparkSession, table: str, folder: str, encoder: str, resu
     _store(spark, results, encoder, "anomaly", counts)
 
 
-def run_projection(spark: SparkSession, folder: str, encoder: str, results: str, label: str = "category") -> None:
-    clusters = spark.read.parquet(f"{results}/clusters/{encoder}")
-    points = projection.comparison(vector_table(spark, folder, encoder), label, clusters)
+def run_projection(
+    spark: SparkSession, folder: str, encoder: str, results: str, label: str = "category",
+    sample_size: int = projection.COMPARISON_SAMPLE, reuse: bool = True,
+) -> None:
+    """Coordinates of the comparison sample; stored ones of the right size are kept."""
+    vectors = vector_table(spark, folder, encoder)
     target = f"{results}/projection/{encoder}"
-    points.write.mode("overwrite").parquet(target)
+    wanted = min(sample_size, vectors.count())
+    if not (reuse and _stored_rows(spark, target) == wanted):
+        clusters = spark.read.parquet(f"{results}/clusters/{encoder}")
+        points = projection.comparison(vectors, label, clusters, sample_size)
+        points.write.mode("overwrite").parquet(target)
     stored = spark.read.parquet(target)
-    sizes = stored.agg(F.count(F.lit(1)).alias("sample_size"))
-    _store(spark, results, encoder, "projection", sizes)
+    _store(spark, results, encoder, "projection", stored.agg(F.count(F.lit(1)).alias("sample_size")))
+
+
+def _stored_rows(spark: SparkSession, path: str) -> int | None:
+    try:
+        return spark.read.parquet(path).count()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def run_probe(spark: SparkSession, folder: str, encoder: str, results: str, target: str = "rating") -> None:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from textrep.sources.wordvectors import read_word_vectors
 
 # The vector table carries the columns that the analyses compare with.
 KEEP = ("row_id", "category", "rating")
-RUN_SCHEMA = "encoder string, elapsed string, elapsed_seconds double, device string, reused boolean"
+RUN_SCHEMA = "encoder string, elapsed string, elapsed_seconds double, device string, reused boolean, skipped boolean"
 
 Build = Callable[[], DataFrame]
 
@@ -103,18 +104,27 @@ def encode_all(
     """Build or reuse every vector table; returns the updated run summary.
 
     ``builds`` maps an encoder to its build function and its width. A reused
-    table keeps its earlier run time.
+    table keeps its earlier run time, and an encoder whose word vectors are not
+    there is recorded as skipped.
     """
     total = spark.read.parquet(table).count()
     rows = []
     for encoder, (build, dim) in builds.items():
         start = time.perf_counter()
-        _, reused = materialize(
-            spark, f"{folder}/{encoder}", encoder, total, dim, build, force, at_most=encoder == "tfidf"
-        )
+        try:
+            reused = materialize(
+                spark, f"{folder}/{encoder}", encoder, total, dim, build, force, at_most=encoder == "tfidf"
+            )[1]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows.append((encoder, None, None, False, True))
+            continue
         seconds = None if reused else round(time.perf_counter() - start, 2)
-        rows.append((encoder, seconds, (devices or {}).get(encoder), reused))
-    timed = spark.createDataFrame(rows, "encoder string, elapsed_seconds double, device string, reused boolean")
+        rows.append((encoder, seconds, (devices or {}).get(encoder), reused, False))
+    timed = spark.createDataFrame(
+        rows, "encoder string, elapsed_seconds double, device string, reused boolean, skipped boolean"
+    )
     new = timed.withColumn("elapsed", elapsed_text(F.col("elapsed_seconds")))
     path = f"{folder}/run_summary"
     old, version = read_latest(spark, path, RUN_SCHEMA)

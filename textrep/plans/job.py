@@ -22,7 +22,7 @@ def default_builds(
     texts: DataFrame, models: str, word_vectors: dict[str, str] | None = None, make_encoders: dict | None = None,
     size: int = 300, epochs: int | None = None, max_features: int = tfidf.MAX_FEATURES, min_count: int = 5,
 ) -> dict:
-    """Every encoder that has what it needs; a missing vector file leaves its encoder out."""
+    """The trained and built-in encoders, plus one per word-vector file and batch model."""
     builds = {
         "tfidf": (encode.tfidf_build(texts, models, size, max_features), size),
         "w2v_trained": (encode.w2v_build(texts, models, size, epochs or w2v.EPOCHS, min_count, w2v.WINDOW), size),
@@ -51,7 +51,9 @@ def run(
     builds = default_builds(texts, f"{out}/models", **build_options)
     encoders = list(encoders or builds)
     if "embeddings" in stages:
-        encode.encode_all(spark, table, folder, {e: builds[e] for e in encoders}, force)
+        done = encode.encode_all(spark, table, folder, {e: builds[e] for e in encoders}, force)
+        missing = {row.encoder for row in done.filter("skipped").collect()}
+        encoders = [e for e in encoders if e not in missing]
     if "analysis" not in stages:
         return None
     if "validation" in tasks:

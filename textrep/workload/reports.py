@@ -13,7 +13,7 @@ from textrep.plans.job import run
 from textrep.plans.preprocess import preprocess
 from textrep.session import work_path
 from textrep.sources import reviews, store
-from textrep.sources.runlogs import encoder_runtimes
+from textrep.sources.runlogs import BAR_SOURCE, CLOCK_SOURCE, encoder_runtimes
 from textrep.streaming import reviews as stream
 from textrep.workload.encoders import STOP_WORDS
 from textrep.workload.tables import CLEANED_SQL, RAW_SQL, raw_reviews, review_texts, sql_clean, table, vectors
@@ -86,7 +86,7 @@ best AS (SELECT *, clock IS NOT NULL AND (named OR command) AS by_clock FROM fil
 ranked AS (SELECT *, row_number() OVER (PARTITION BY encoder ORDER BY modified DESC, name DESC) AS r FROM best)
 SELECT encoder, CASE WHEN by_clock THEN clock ELSE bar_text END AS elapsed, name AS path,
 CAST(CASE WHEN NOT by_clock THEN rate END AS DOUBLE) AS throughput_per_second,
-CASE WHEN by_clock THEN 'time -v' ELSE 'progress bar' END AS source FROM ranked WHERE r = 1"""
+CASE WHEN by_clock THEN '/usr/bin/time -v' ELSE 'tqdm' END AS source FROM ranked WHERE r = 1"""
 
 
 @query(f"WITH {_LOG_SQL}")
@@ -196,7 +196,7 @@ SELECT encoder, rows, 300 AS dim, rows * 1200 AS bytes, 1200.0::DOUBLE AS bytes_
 CASE WHEN encoder = 'tfidf' THEN 'cpu' END AS device,
 CASE WHEN encoder IN ('sbert', 'src3') THEN '9:59' WHEN rows % 2 = 0 THEN '0:' || lpad(CAST(rows % 60 AS VARCHAR), 2, '0')
  WHEN encoder = 'tfidf' THEN '7:00' END AS elapsed,
-CASE WHEN encoder IN ('sbert', 'src3') THEN 'time -v' WHEN rows % 2 = 0 THEN 'internal timer' WHEN encoder = 'tfidf' THEN 'progress bar' END AS source FROM n""")
+CASE WHEN encoder IN ('sbert', 'src3') THEN '/usr/bin/time -v' WHEN rows % 2 = 0 THEN 'internal_perf_counter' WHEN encoder = 'tfidf' THEN 'tqdm' END AS source FROM n""")
 def efficiency(spark, folder):
     """Sources as encoders: wall clock first, then the timer, then a progress bar."""
     name = F.when(F.col("source") == "src1", "tfidf").when(F.col("source") == "src2", "sbert").otherwise(F.col("source"))
@@ -207,7 +207,7 @@ def efficiency(spark, folder):
     clock = F.col("encoder") != "tfidf"
     logs = kinds.filter("encoder in ('sbert', 'src3', 'tfidf')").select(
         "encoder", F.when(clock, "9:59").otherwise("7:00").alias("elapsed"), F.lit(2.0).alias("elapsed_seconds"),
-        F.when(clock, "time -v").otherwise("progress bar").alias("source"))
+        F.when(clock, CLOCK_SOURCE).otherwise(BAR_SOURCE).alias("source"))
     rows = report.efficiency(kinds.withColumn("dim", F.lit(300)), run, logs)
     out = rows.select("encoder", "rows", "dim", "bytes", "bytes_per_row", "device", "elapsed", "source")
     return out.withColumn("source", F.when(F.col("elapsed").isNotNull(), F.col("source")))
