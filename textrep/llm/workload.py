@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrep.llm import decontaminate, urls
+from textrep.llm import decontaminate, minhash, urls
 from textrep.session import spread
 from textrep.workload.tables import table
 
@@ -14,6 +14,10 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(texts(spark, folder))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_benchmark(texts(spark, folder), table(spark, folder, "benchmark"), "found", keep=["doc_id"])
     return found.select("doc_id", *decontaminate.hit_columns("found"))
@@ -25,6 +29,19 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce({_LOW.format('text')}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                             ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+one AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * met >= 85 * (x.n + y.n - met)),
+two AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, two.b FROM reach JOIN two ON reach.b = two.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+FROM sizes JOIN reach ON doc_id = a GROUP BY doc_id, n"""
+
 OP5_SQL = rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce({_LOW.format('text')}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(coalesce({_LOW.format('text')}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -51,5 +68,13 @@ fit AS (SELECT page_id, arg_max(struct_pack(rule := rule_host || rule_path, verd
         FROM part JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM part LEFT JOIN fit USING (page_id)"""
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op7_url_filters": op7_url_filters}
-ORACLE = {"op5_decontaminate": OP5_SQL, "op7_url_filters": OP7_SQL}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_url_filters": op7_url_filters,
+}
+ORACLE = {
+    "op1_minhash": OP1_SQL,
+    "op5_decontaminate": OP5_SQL,
+    "op7_url_filters": OP7_SQL,
+}
