@@ -182,13 +182,27 @@ def _links(base: DataFrame, sketch: DataFrame, classes: DataFrame, width: int, l
     labelled = cut_lineage(labelled, "labelled-buckets")
     parts = labelled.groupBy("bucket", "c").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("x.c").alias("main"))
-    mixed = labelled.join(main, "bucket")
-    others = mixed.where("c <> main").select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    crossed = mixed.join(others, "bucket").where((F.col("c") != F.col("ca")) & _near("n", "na", least) & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("id"))))
+    mixed = cut_lineage(labelled.join(main, "bucket"), "mixed-buckets")
+    able = mixed.join(_shared_sizes(sets, mixed), "id").where(F.col("k") * 100 >= F.col("n") * least)
+    others = able.where("c <> main").select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("c").alias("ca"))
+    most = F.least("k", "ka")
+    crossed = able.join(others, "bucket").where(
+        (F.col("c") != F.col("ca"))
+        & (most * 100 >= (F.col("n") + F.col("na") - most) * least)
+        & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("id")))
+    )
     second = _confirmed(crossed.select("a", F.col("id").alias("b")).distinct(), sets, least)
     return first.union(second)
 
 
+def _shared_sizes(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(id, k)``: shingles of a set that any other set in these buckets has too, so no intersection is larger."""
+    chosen = sets.join(placed.select("id").distinct(), "id", "left_semi")
+    alone = chosen.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("m"), F.min("id").alias("id"))
+    alone = alone.where("m = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    return chosen.join(alone, "id", "left").select("id", (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("k"))
+
+
 def _sets(base: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """Full shingle sets of the given rows."""
     few = sent(ids, 8, MOST_ID_BYTES)
