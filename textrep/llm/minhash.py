@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,12 +117,16 @@ def _near(a: str, b: str, least: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * least
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
+def _similar(met: Column, n: str, other: str, least: int) -> Column:
+    return met * 100 >= (F.col(n) + F.col(other) - met) * least
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, na, nb, met)``: sizes of both full sets of a pair and of their intersection."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * least).select("a", "b")
+    found = pairs.join(left, "a").join(right, "b")
+    return found.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("met"))
 
 
 def near_duplicates(
@@ -173,26 +177,33 @@ def _links(base: DataFrame, sketch: DataFrame, classes: DataFrame, width: int, l
 
     weight = placed.groupBy("id").agg(F.sum("m").alias("weight"))
     hub = placed.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "n")).alias("h"))
-    hub = hub.select("bucket", (-F.col("h.minus")).alias("b"), F.col("h.n").alias("nb"))
+    hub = cut_lineage(hub.select("bucket", (-F.col("h.minus")).alias("b"), F.col("h.n").alias("nb")), "hubs")
     first = placed.join(hub, "bucket").where(_near("n", "nb", least)).select(F.col("id").alias("a"), "b").where("a <> b").distinct()
-    first = cut_lineage(_confirmed(first, sets, least), "hub-links")
+    first = cut_lineage(_measured(first, sets), "hub-pairs")
+    close = first.where(_similar(F.col("met"), "na", "nb", least)).select("a", "b")
 
-    roots = components(first)
+    roots = components(close)
     labelled = placed.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("c"))
     labelled = cut_lineage(labelled, "labelled-buckets")
     parts = labelled.groupBy("bucket", "c").agg(F.count("*").alias("size"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("x.c").alias("main"))
-    mixed = cut_lineage(labelled.join(main, "bucket"), "mixed-buckets")
+    mixed = cut_lineage(labelled.join(main, "bucket").join(hub.drop("nb"), "bucket"), "mixed-buckets")
     able = mixed.join(_shared_sizes(sets, mixed), "id").where(F.col("k") * 100 >= F.col("n") * least)
-    others = able.where("c <> main").select("bucket", F.col("id").alias("a"), F.col("n").alias("na"), F.col("k").alias("ka"), F.col("c").alias("ca"))
-    most = F.least("k", "ka")
+    places = able.groupBy("id").agg(F.collect_set("bucket").alias("places"))
+    inside = first.select(F.col("a").alias("id"), "b", "met")
+    able = able.join(inside, ["id", "b"], "left").withColumn("met", F.when(F.col("id") == F.col("b"), F.col("n")).otherwise(F.col("met")))
+    able = cut_lineage(able.join(places, "id"), "open-buckets")
+    others = able.where("c <> main").select("bucket", *(F.col(x).alias(f"{x}_2") for x in ("id", "n", "k", "met", "c", "places")))
+    by_hub = F.least("met", "met_2") + F.least(F.col("k") - F.col("met"), F.col("k_2") - F.col("met_2"))
+    most = F.when(F.col("met").isNotNull() & F.col("met_2").isNotNull(), by_hub).otherwise(F.least("k", "k_2"))
     crossed = able.join(others, "bucket").where(
-        (F.col("c") != F.col("ca"))
-        & (most * 100 >= (F.col("n") + F.col("na") - most) * least)
-        & ((F.col("c") == F.col("main")) | (F.col("a") < F.col("id")))
+        (F.col("c") != F.col("c_2"))
+        & ((F.col("c") == F.col("main")) | (F.col("id") < F.col("id_2")))
+        & _similar(most, "n", "n_2", least)
+        & (F.array_min(F.array_intersect("places", "places_2")) == F.col("bucket"))
     )
-    second = _confirmed(crossed.select("a", F.col("id").alias("b")).distinct(), sets, least)
-    return first.union(second)
+    second = _measured(crossed.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct(), sets)
+    return close.union(second.where(_similar(F.col("met"), "na", "nb", least)).select("a", "b"))
 
 
 def _shared_sizes(sets: DataFrame, placed: DataFrame) -> DataFrame:
