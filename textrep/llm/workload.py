@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrep.llm import decontaminate, minhash, urls
+from textrep.llm import decontaminate, embeddings, language, minhash, quality, substrings, urls
+from textrep.llm.frames import remainder
 from textrep.session import spread
 from textrep.workload.tables import table
 
@@ -23,10 +24,38 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *decontaminate.hit_columns("found"))
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id").withColumn("rest", remainder("doc_id", 4))
+    filters = language.learn(docs.where("rest <> 2"))
+    out = language.language(docs.select("doc_id", "text", "rest"), filters, "found", keep=["doc_id", "rest"])
+    return out.select("doc_id", F.coalesce(F.col("rest") == 2, F.lit(False)).alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score")
+
+
 def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"))
 
 
+def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(texts(spark, folder)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = texts(spark, folder).withColumn("rest", remainder("doc_id", 5))
+    known = quality.labelled(docs.where("rest <> 0"), table(spark, folder, "labels"), "quality")
+    out = quality.quality(docs, quality.learn(known), "found", keep=["doc_id", "rest"])
+    score = F.col("found.score")
+    return out.select(
+        "doc_id",
+        F.coalesce(F.col("rest") == 0, F.lit(False)).alias("held_out"),
+        score.alias("score"),
+        (score >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -68,13 +97,39 @@ fit AS (SELECT page_id, arg_max(struct_pack(rule := rule_host || rule_path, verd
         FROM part JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM part LEFT JOIN fit USING (page_id)"""
 
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 12] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+low AS (SELECT g, min(doc_id) AS low FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM win JOIN low USING (g) WHERE low < doc_id),
+sets AS (SELECT doc_id, list(place) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
+                   ELSE coalesce(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(gone, i)], ' '), '') END) AS kept_sha256
+FROM w LEFT JOIN sets USING (doc_id)"""
+
+OP10_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a, min(b) AS low FROM reach GROUP BY a), deg AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, low AS component_id, vec_id = low AS kept
+FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id"""
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op5_decontaminate": op5_decontaminate,
+    "op6_language": op6_language,
     "op7_url_filters": op7_url_filters,
+    "op8_substring": op8_substring,
+    "op9_quality": op9_quality,
+    "op10_embeddings": op10_embeddings,
 }
 ORACLE = {
     "op1_minhash": OP1_SQL,
     "op5_decontaminate": OP5_SQL,
     "op7_url_filters": OP7_SQL,
+    "op8_substring": OP8_SQL,
+    "op10_embeddings": OP10_SQL,
 }
