@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrep.llm import decontaminate, embeddings, language, minhash, personal, quality, substrings, urls
+from textrep.llm import decontaminate, embeddings, language, minhash, personal, pieces, quality, substrings, urls
 from textrep.llm.frames import remainder
 from textrep.session import spread
 from textrep.workload.tables import table
@@ -23,6 +23,10 @@ def op3_personal(spark: SparkSession, folder: str) -> DataFrame:
     return personal.find_personal(texts(spark, folder), "found").select("doc_id", *personal.span_columns("found"))
 
 
+def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(texts(spark, folder))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_benchmark(texts(spark, folder), table(spark, folder, "benchmark"), "found", keep=["doc_id"])
     return found.select("doc_id", *decontaminate.hit_columns("found"))
@@ -124,6 +128,7 @@ FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id"""
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op3_personal": op3_personal,
+    "op4_pieces": op4_pieces,
     "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
     "op7_url_filters": op7_url_filters,
