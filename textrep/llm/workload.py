@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrep.llm import decontaminate, embeddings, language, minhash, personal, pieces, quality, substrings, urls
+from textrep.llm import decontaminate, embeddings, language, minhash, personal, pieces, quality, scoring, substrings, urls
 from textrep.llm.frames import remainder
 from textrep.session import spread
 from textrep.workload.tables import table
@@ -19,6 +19,12 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(texts(spark, folder))
 
 
+def op2_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = texts(spark, folder)
+    out = scoring.score_documents(docs, docs.where(remainder("doc_id", 7) != 2))
+    return out.withColumn("held_out", F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
+
+
 def op3_personal(spark: SparkSession, folder: str) -> DataFrame:
     return personal.find_personal(texts(spark, folder), "found").select("doc_id", *personal.span_columns("found"))
 
@@ -127,6 +133,7 @@ FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id"""
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_language_model": op2_language_model,
     "op3_personal": op3_personal,
     "op4_pieces": op4_pieces,
     "op5_decontaminate": op5_decontaminate,
