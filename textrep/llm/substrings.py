@@ -35,23 +35,17 @@ WHOLE = T.StructType(
         T.StructField("f1", T.LongType()),
         T.StructField("f2", T.LongType()),
         T.StructField("sha", T.StringType()),
-        T.StructField("marks", T.ArrayType(T.LongType())),
     ]
 )
+MARKS = T.StructType([T.StructField("marks", T.ArrayType(T.LongType()))])
 BLOCKS = T.StructType(
-    [
-        T.StructField("f1", T.LongType()),
-        T.StructField("f2", T.LongType()),
-        T.StructField(
-            "blocks",
-            T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())])),
-        ),
-    ]
+    [T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())])))]
 )
-PRINTS = T.StructType([T.StructField("f1", T.LongType()), T.StructField("f2", T.LongType())])
 FACTOR = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("source", T.LongType())])
 PARSED = T.StructType(
     [
+        T.StructField("f1", T.LongType()),
+        T.StructField("f2", T.LongType()),
         T.StructField("n_removed", T.LongType()),
         T.StructField("kept", T.StringType()),
         T.StructField("factors", T.ArrayType(FACTOR)),
@@ -88,29 +82,31 @@ def _sequence_prints(words: Words, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _wholes(texts: pa.Array, block: int, run: int) -> pa.StructArray:
+def _wholes(texts: pa.Array) -> pa.StructArray:
     words = split_words(texts, BLANKS, lower=False)
-    hashes = words.hashes()
-    prints = _sequence_prints(words, hashes)
-    starts, marks = block_marks(hashes, words.first, block, run)
-    owner = np.searchsorted(words.first, starts, "right") - 1
-    new = np.ones(len(marks), bool)
-    new[1:] = (marks[1:] != marks[:-1]) | (owner[1:] != owner[:-1])
-    marks, owner = marks[new], owner[new]
+    prints = _sequence_prints(words, words.hashes())
     shas = [hashlib.sha256(b" ".join(t.encode().split()) if t else b"").hexdigest() for t in texts.to_pylist()]
     return struct_of(
         n_words=pa.array(words.counts, pa.int64()),
         f1=pa.array(prints[0].view(np.int64)),
         f2=pa.array(prints[1].view(np.int64)),
         sha=pa.array(shas, pa.string()),
-        marks=pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)), pa.int32()), pa.array(marks.view(np.int64))),
     )
 
 
+def _marks(texts: pa.Array, block: int, run: int) -> pa.StructArray:
+    words = split_words(texts, BLANKS, lower=False)
+    starts, marks = block_marks(words.hashes(), words.first, block, run)
+    owner = np.searchsorted(words.first, starts, "right") - 1
+    new = np.ones(len(marks), bool)
+    new[1:] = (marks[1:] != marks[:-1]) | (owner[1:] != owner[:-1])
+    first = np.searchsorted(owner[new], np.arange(len(texts) + 1))
+    return struct_of(marks=pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(marks[new].view(np.int64))))
+
+
 def _blocks(part: pa.RecordBatch, block: int, run: int) -> pa.StructArray:
     words = split_words(part.column("text"), BLANKS, lower=False)
     hashes = words.hashes()
-    prints = _sequence_prints(words, hashes)
     starts, marks = block_marks(hashes, words.first, block, run)
     bounds = np.searchsorted(starts, words.first)
     wanted = part.column("marks")
@@ -126,18 +122,7 @@ def _blocks(part: pa.RecordBatch, block: int, run: int) -> pa.StructArray:
         h2=pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
     )
     first = np.searchsorted(owner, np.arange(part.num_rows + 1))
-    return struct_of(f1=pa.array(prints[0].view(np.int64)), f2=pa.array(prints[1].view(np.int64)), blocks=pa.ListArray.from_arrays(pa.array(first, pa.int32()), found))
-
-
-def _printer():
-    """The prints alone, to find the row of a text again."""
-
-    def work(part: pa.RecordBatch) -> pa.Array:
-        words = split_words(part.column("text"), BLANKS, lower=False)
-        prints = _sequence_prints(words, words.hashes())
-        return struct_of(f1=pa.array(prints[0].view(np.int64)), f2=pa.array(prints[1].view(np.int64)))
-
-    return work
+    return struct_of(blocks=pa.ListArray.from_arrays(pa.array(first, pa.int32()), found))
 
 
 def factors_of(at: np.ndarray, source: np.ndarray, block: int) -> list[tuple[int, int, int]]:
@@ -152,6 +137,8 @@ def factors_of(at: np.ndarray, source: np.ndarray, block: int) -> list[tuple[int
 
 
 def _parse(part: pa.RecordBatch, block: int) -> pa.StructArray:
+    split = split_words(part.column("text"), BLANKS, lower=False)
+    prints = _sequence_prints(split, split.hashes())
     removed, kept, found = [], [], []
     places, sources = part.column("at"), part.column("source")
     for i, text in enumerate(part.column("text").to_pylist()):
@@ -166,6 +153,8 @@ def _parse(part: pa.RecordBatch, block: int) -> pa.StructArray:
         kept.append(b" ".join([words[k] for k in np.flatnonzero(~gone)]).decode())
         found.append([dict(zip(("start", "length", "source"), f)) for f in factors])
     return struct_of(
+        f1=pa.array(prints[0].view(np.int64)),
+        f2=pa.array(prints[1].view(np.int64)),
         n_removed=pa.array(removed, pa.int64()),
         kept=pa.array(kept, pa.string()),
         factors=pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64())]))),
@@ -181,37 +170,40 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     ``factors`` (first word, length, source) are given where some words were
     removed and others looked at, and are null where the text stays or goes
     whole. Null texts have no words. A row without key is never a source and
-    stays whole. Repeated rows are no smaller documents of one another.
+    stays whole. Repeated rows are no smaller documents of one another; of rows
+    that share a key but not the text, one is parsed and a source, the others
+    stay whole.
     """
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    sketch = annotate(base, "text", "s", WHOLE, lambda: lambda part: _wholes(part.column("text"), block, run), ["id"])
-    sketch = cut_lineage(sketch.select("id", "s.*"), "marks")
-    usable = sketch.where(F.col("id").isNotNull() & (F.size("marks") > 0))
-    classes = usable.groupBy("f1", "f2").agg(F.min("id").alias("id"))
-    marks = usable.join(classes, ["f1", "f2", "id"], "left_semi").select("id", F.explode("marks").alias("mark"))
+    sketch = annotate(base, "text", "s", WHOLE, lambda: lambda part: _wholes(part.column("text")), ["id"])
+    sketch = cut_lineage(sketch.select("id", "s.*"), "texts")
+    classes = sketch.where(F.col("id").isNotNull() & (F.col("n_words") >= block)).groupBy("f1", "f2").agg(F.min("id").alias("lowest"))
+    copies = sketch.join(classes, ["f1", "f2"]).where("lowest < id").select("id").distinct()
+    copies = cut_lineage(copies, "copies")
+    few = sent(copies, 8, MOST_ID_BYTES)
+    firsts = base.where("id IS NOT NULL").join(copies if few is None else few, "id", "left_anti")
+    marks = annotate(firsts, "text", "m", MARKS, lambda: lambda part: _marks(part.column("text"), block, run), ["id"])
+    marks = marks.select("id", F.explode("m.marks").alias("mark"))
     common = marks.groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("mark")
     wanted = cut_lineage(marks.join(common, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks")), "common-marks")
 
     few = sent(wanted.select("id"), 8, MOST_ID_BYTES)
-    chosen = base.join(wanted.select("id") if few is None else few, "id", "left_semi")
-    chosen = cut_lineage(chosen.join(wanted, "id"), "texts-with-common-marks")
+    chosen = firsts.join(wanted.select("id") if few is None else few, "id", "left_semi")
+    chosen = cut_lineage(chosen.dropDuplicates(["id"]).join(wanted, "id"), "texts-with-common-marks")
     placed = annotate(chosen, "text", "b", BLOCKS, lambda: lambda part: _blocks(part, block, run), ["id"])
-    placed = placed.select("id", "b.f1", "b.f2", F.explode("b.blocks").alias("x")).select("id", "f1", "f2", "x.*")
-    index = placed.groupBy("h1", "h2").agg(F.min("id").alias("source"), F.max("id").alias("last")).where("source < last")
-    hits = placed.join(index, ["h1", "h2"]).where("source < id").groupBy("id", "f1", "f2")
-    hits = hits.agg(F.collect_set(F.struct("at", "source")).alias("x")).select("id", "f1", "f2", F.col("x.at").alias("at"), F.col("x.source").alias("source"))
-
-    printed = annotate(chosen.select("id", "text"), "text", "b", PRINTS, _printer, ["id", "text"])
-    rows = printed.select("id", "text", "b.f1", "b.f2").join(hits, ["id", "f1", "f2"])
-    parsed = annotate(rows, "text", "p", PARSED, lambda: lambda part: _parse(part, block), ["id", "f1", "f2"])
-    parsed = parsed.select("id", "f1", "f2", "p.*").dropDuplicates(["id", "f1", "f2"])
-    named = sketch.join(classes.withColumnRenamed("id", "lowest"), ["f1", "f2"], "left").join(parsed, ["id", "f1", "f2"], "left")
+    placed = placed.select("id", F.explode("b.blocks").alias("x")).select("id", "x.*")
+    index = placed.groupBy("h1", "h2").agg(F.min("id").alias("source"))
+    hits = placed.join(index, ["h1", "h2"]).where("source < id").groupBy("id").agg(F.collect_list(F.struct("at", "source")).alias("x"))
+    rows = chosen.select("id", "text").join(hits.select("id", F.col("x.at").alias("at"), F.col("x.source").alias("source")), "id")
+    parsed = annotate(rows, "text", "p", PARSED, lambda: lambda part: _parse(part, block), ["id"])
+    parsed = parsed.select("id", "p.*").withColumn("kept_sha", F.sha2("kept", 256))
+    named = sketch.join(classes, ["f1", "f2"], "left").join(parsed, ["id", "f1", "f2"], "left")
     copied = F.col("lowest") < F.col("id")
     return named.select(
         F.col("id").alias(key),
         "n_words",
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copied, F.sha2(F.lit(""), 256)).when(F.col("kept").isNotNull(), F.sha2("kept", 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(copied, F.sha2(F.lit(""), 256)).when(F.col("kept_sha").isNotNull(), F.col("kept_sha")).otherwise(F.col("sha")).alias("kept_sha256"),
         F.when(copied, F.col("lowest")).alias("copy_of"),
         F.when(~F.coalesce(copied, F.lit(False)), F.col("kept")).alias("kept"),
         F.when(~F.coalesce(copied, F.lit(False)), F.col("factors")).alias("factors"),
