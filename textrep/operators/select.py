@@ -78,14 +78,14 @@ def quantile(df: DataFrame, column: str, share: float) -> float:
 
 
 def flag_low(df: DataFrame, column: str, share: float, flag: str = "flagged") -> tuple[DataFrame, float]:
-    """Rows at or below the quantile are flagged, ties included."""
+    """Rows at or below the quantile are flagged, ties included; null and NaN are not."""
     threshold = quantile(df, column, share)
-    return df.withColumn(flag, F.col(column) <= F.lit(threshold)), threshold
+    return df.withColumn(flag, F.coalesce((F.col(column) <= F.lit(threshold)) & ~F.isnan(column), F.lit(False))), threshold
 
 
 def flag_high(df: DataFrame, column: str, share: float, flag: str = "flagged") -> tuple[DataFrame, float]:
-    """The top ``share`` of the rows (at least one) is flagged, ties included."""
+    """The top ``share`` of the rows (at least one) is flagged, ties included; null and NaN are not."""
     values = _finite(df, column)
     lo, hi, count = _range(values)
     threshold = _narrow(values, count - max(1, int(count * share)), lo, hi, count)
-    return df.withColumn(flag, F.col(column) >= F.lit(threshold)), threshold
+    return df.withColumn(flag, F.coalesce((F.col(column) >= F.lit(threshold)) & ~F.isnan(column), F.lit(False))), threshold
