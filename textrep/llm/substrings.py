@@ -27,7 +27,7 @@ from textrep.session import cut_lineage
 BLOCK = 13
 #: Words of the runs whose least hash marks a block.
 RUN = 5
-MOST_ID_BYTES = 32 << 20
+MOST_ID_BYTES = MOST_MARK_BYTES = 32 << 20
 
 WHOLE = T.StructType(
     [
@@ -185,11 +185,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     marks = annotate(firsts, "text", "m", MARKS, lambda: lambda part: _marks(part.column("text"), block, run), ["id"])
     marks = marks.select("id", F.explode("m.marks").alias("mark"))
     common = marks.groupBy("mark").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("mark")
-    wanted = cut_lineage(marks.join(common, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks")), "common-marks")
-
-    few = sent(wanted.select("id"), 8, MOST_ID_BYTES)
-    chosen = firsts.join(wanted.select("id") if few is None else few, "id", "left_semi")
-    chosen = cut_lineage(chosen.dropDuplicates(["id"]).join(wanted, "id"), "texts-with-common-marks")
+    common = cut_lineage(common, "common-marks")
+    few = sent(common, 8, MOST_MARK_BYTES)
+    wanted = marks.join(common if few is None else few, "mark", "left_semi").groupBy("id").agg(F.collect_set("mark").alias("marks"))
+    wanted = cut_lineage(wanted, "marks-of-texts")
+    cells = wanted.agg(F.sum(F.size("marks") + 2)).first()[0] or 0
+    repeated = cut_lineage(sketch.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1 AND id IS NOT NULL").select("id"), "repeated")
+    few = sent(repeated, 8, MOST_ID_BYTES)
+    repeated = repeated if few is None else few
+    once = firsts.join(repeated, "id", "left_anti").union(firsts.join(repeated, "id", "left_semi").dropDuplicates(["id"]))
+    chosen = once.join(F.broadcast(wanted) if 8 * cells <= MOST_MARK_BYTES else wanted, "id")
+    chosen = cut_lineage(chosen, "texts-with-common-marks")
     placed = annotate(chosen, "text", "b", BLOCKS, lambda: lambda part: _blocks(part, block, run), ["id"])
     placed = placed.select("id", F.explode("b.blocks").alias("x")).select("id", "x.*")
     index = placed.groupBy("h1", "h2").agg(F.min("id").alias("source"))
