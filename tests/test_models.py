@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textrep.operators import anomaly, classification, clustering, clustermetrics, histogram, knn, probe, projection, retrieval
+from textrep.operators import anomaly, classification, clustering, clustermetrics, histogram, knn, probe, projection, report, retrieval
 from textrep.operators.encoders import batch, glove, mean, tfidf, w2v
 from textrep.sources import store
 from textrep.streaming import reviews as stream
@@ -188,7 +188,7 @@ def test_forest_finds_the_far_point_on_any_partitioning(spark):
     scores = []
     for parts in (1, 6):
         table = df.union(far).repartition(parts)
-        got = anomaly.isolation_scores(table, 0.01, fit_sample=300, trees=20, rows_per_tree=64)
+        got = anomaly.isolation_scores(table, 0.01, trees=20, rows_per_tree=64)
         scores.append({r.row_id: r.iso_score for r in got.collect()})
     assert scores[0] == pytest.approx(scores[1]) and min(scores[0], key=scores[0].get) == 1000
     assert anomaly.average_path(np.array([1, 2, 256.0]))[:2].tolist() == [0.0, 1.0]
@@ -299,3 +299,12 @@ def test_tasks_need_no_installed_package(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "rows 1" in done.stdout, done.stderr[-2000:]
+
+
+def test_alignment_is_checked(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, a string")
+    right = spark.createDataFrame([(2, "x"), (1, "y")], "row_id long, b string")
+    assert sorted(map(tuple, report.align(left, right).collect())) == [(1, "a", "y"), (2, "b", "x")]
+    for other in (right.limit(1), right.union(right), right.limit(0)):
+        with pytest.raises(ValueError):
+            report.align(left, other)

@@ -29,8 +29,8 @@ def test_legacy_tags_leave_no_blank(spark):
 
 def test_cut(spark):
     long = " ".join(str(i) for i in range(257))
-    assert one(spark, text.clean_text(F.lit(long))) == " ".join(str(i) for i in range(256))
-    assert one(spark, text.clean_text(F.lit(long), None)) == long
+    assert one(spark, text.clean_text(F.lit(long), 256)) == " ".join(str(i) for i in range(256))
+    assert one(spark, text.clean_text(F.lit(long))) == long
 
 
 def test_tokens_match_python_split(spark):
@@ -195,3 +195,13 @@ def test_word_vector_lines(spark):
     df = spark.createDataFrame(lines, "at int, value string").select("at", F.split(F.rtrim("value"), " ").alias("parts"))
     known = spark.createDataFrame([("a",), ("new york",)], "token string")
     assert {r.token: r.vector for r in parse_word_vectors(df, 2, known).collect()} == {"a": [5, 6], "new york": [3, 4]}
+
+
+def test_long_reviews_that_differ_late_are_both_kept(spark):
+    head = " ".join(["word"] * 300)
+    rows = [(i, "u", "c", f"{head} {end}") for i, end in enumerate(("one", "two", "two"))]
+    raw = spark.createDataFrame(rows, "row_id long, user_id string, category string, text string")
+    kept = clean_reviews(raw, ["row_id"]).orderBy("row_id").collect()
+    assert [(r.row_id, r.cleaned_text) for r in kept] == [(0, f"{head} one"), (1, f"{head} two")]
+    cut = clean_reviews(raw, ["row_id"], max_tokens=256).select("cleaned_text").collect()
+    assert [len(r.cleaned_text.split()) for r in cut] == [256, 256]

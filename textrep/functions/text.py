@@ -14,7 +14,6 @@ TAG_PATTERN = r"<[^\n]*?>"
 # Maximal runs of two or more word characters.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 MIN_LENGTH = 10
-MAX_TOKENS = 256
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -35,14 +34,14 @@ def squeeze(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(_blanked(text), " {2,}", " "))
 
 
-def first_tokens(squeezed: Column | str, max_tokens: int | None = MAX_TOKENS) -> Column:
-    """The first ``max_tokens`` tokens of an already squeezed text."""
+def first_tokens(squeezed: Column | str, max_tokens: int | None = None) -> Column:
+    """The first ``max_tokens`` tokens of an already squeezed text, all of them by default."""
     text = _col(squeezed)
     return text if max_tokens is None else F.substring_index(text, " ", max_tokens)
 
 
-def clean_text(text: Column | str, max_tokens: int | None = MAX_TOKENS, tag: str = " ") -> Column:
-    """Tags out, white space squeezed, cut to the first ``max_tokens`` tokens."""
+def clean_text(text: Column | str, max_tokens: int | None = None, tag: str = " ") -> Column:
+    """Tags out, white space squeezed; cut to ``max_tokens`` tokens only if that is given."""
     return first_tokens(squeeze(replace_tags(text, tag)), max_tokens)
 
 

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textrep.functions.vectors import matrix
-from textrep.operators.sampling import SEED, uniform_sample
+from textrep.operators.sampling import SEED
 from textrep.operators.select import flag_high, flag_low, quantile
+from textrep.session import cut_lineage
 
-# Forest size, rows per tree, fit sample, flagged share, ridge weights.
+# Forest size, rows per tree, flagged share, ridge weights.
 TREES = 100
 ROWS_PER_TREE = 10_000
-FIT_SAMPLE = 200_000
 CONTAMINATION = 0.01
 L2 = 1e-4
 RIDGE_ALPHA = 1.0
@@ -86,23 +86,27 @@ def _grow(seed: int, rows_per_tree: int, vector: str):
 
 
 def grow_forest(
-    sample: DataFrame, rows: int, trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE,
+    table: DataFrame, rows: int, trees: int = TREES, rows_per_tree: int = ROWS_PER_TREE,
     key: str = "row_id", vector: str = "embedding", seed: int = SEED,
 ) -> DataFrame:
-    """Node table of the forest; every tree sees ``rows_per_tree`` rows of the sample.
+    """Node table of the forest; every tree sees ``rows_per_tree`` rows of the table.
 
     A row joins a tree when its hash falls below a share that yields a little
-    more than needed, so rows x trees is never laid out in full; the tree then
-    takes its exact number in hash order. A group is bounded by that share.
+    more than needed. The list of its trees comes from the hashes alone, so only
+    rows of some tree are copied; the tree then takes its exact number in hash order. A group is bounded by that share.
     """
     wanted = min(rows_per_tree, rows)
     margin = wanted + 8 * math.sqrt(wanted) + 8
     cut = min(1.0, margin / rows)
-    pairs = sample.select(
-        F.col(key).alias("row_id"), F.col(vector).cast("array<double>").alias(vector),
-        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"),
-    ).withColumn("pick", F.shiftrightunsigned(F.xxhash64("row_id", "tree", F.lit(seed)), 1))
-    chosen = pairs if cut >= 1.0 else pairs.filter(F.col("pick") <= int(cut * 2**63))
+    picks = F.transform(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda tree: F.struct(
+            tree.alias("tree"), F.shiftrightunsigned(F.xxhash64(F.col("row_id"), tree, F.lit(seed)), 1).alias("pick")
+        ),
+    )
+    joined = picks if cut >= 1.0 else F.filter(picks, lambda p: p["pick"] <= int(cut * 2**63))
+    rows = table.select(F.col(key).alias("row_id"), F.col(vector).cast("array<double>").alias(vector))
+    chosen = rows.select("row_id", vector, F.explode(joined).alias("_p")).select("row_id", vector, "_p.*")
     return chosen.groupBy("tree").applyInPandas(_grow(seed, wanted, vector), NODE_SCHEMA)
 
 
@@ -149,23 +153,18 @@ def forest_scores(df: DataFrame, shared, keep: Sequence[str] = ("row_id",), vect
 
 
 def isolation_scores(
-    df: DataFrame, contamination: float = CONTAMINATION, fit_sample: int = FIT_SAMPLE, trees: int = TREES,
+    df: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES,
     rows_per_tree: int = ROWS_PER_TREE, keep: Sequence[str] = ("row_id",), key: str = "row_id",
     vector: str = "embedding", seed: int = SEED,
 ) -> DataFrame:
     """``keep`` columns plus ``iso_score``: normality above the contamination
-    quantile of the fit sample, so that about that share lies below zero."""
+    quantile of all rows, so that about that share lies below zero."""
     total = df.count()
-    sample = uniform_sample(df.select(key, vector), fit_sample, key, seed).persist()
-    fitted = min(fit_sample, total)
-    nodes = grow_forest(sample, fitted, trees, rows_per_tree, key, vector, seed)
-    usual = float(average_path(min(rows_per_tree, fitted)))
+    nodes = grow_forest(df, total, trees, rows_per_tree, key, vector, seed)
+    usual = float(average_path(min(rows_per_tree, total)))
     shared = df.sparkSession.sparkContext.broadcast((_forest_arrays(nodes), usual))
-    fit_scores = forest_scores(sample, shared, (key,), vector).select("normality").persist()
-    offset = quantile(fit_scores, "normality", contamination)
-    fit_scores.unpersist()
-    sample.unpersist()
-    scored = forest_scores(df, shared, keep, vector)
+    scored = cut_lineage(forest_scores(df, shared, keep, vector), "normality")
+    offset = quantile(scored, "normality", contamination)
     return scored.select(*keep, (F.col("normality") - offset).alias("iso_score"))
 
 
@@ -214,7 +213,7 @@ def rating_inconsistencies(
 
 
 def anomaly_table(
-    df: DataFrame, contamination: float = CONTAMINATION, fit_sample: int = FIT_SAMPLE, trees: int = TREES,
+    df: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES,
     rows_per_tree: int = ROWS_PER_TREE, key: str = "row_id", vector: str = "embedding", seed: int = SEED,
 ) -> tuple[DataFrame, dict[str, float]]:
     """Row id, both scores and both flags for every row, and the two thresholds.
@@ -223,7 +222,7 @@ def anomaly_table(
     their results meet in one join on the row id.
     """
     scores = isolation_scores(
-        df, contamination, fit_sample, trees, rows_per_tree, (key,), key, vector, seed
+        df, contamination, trees, rows_per_tree, (key,), key, vector, seed
     ).persist()
     flagged, low = flag_low(scores, "iso_score", contamination, "iso_anomaly")
     residuals, high = rating_inconsistencies(df, contamination, None, (key,), "rating", vector)

@@ -21,7 +21,6 @@ from textrep.session import work_path
 # Rows of one mini batch and passes over the table.
 BATCH_ROWS = 16_384
 PASSES = 1
-MAX_BATCHES = 64
 
 
 def distinct_labels(df: DataFrame, label: str) -> int:
@@ -60,19 +59,19 @@ def mini_batch_kmeans(
     The table is written once in hash batches, one folder each, so that a step
     reads its own batch only. A batch moves the centres (k vectors) towards its
     cluster means, weighted by the rows seen so far; finally every row gets its
-    nearest centre. Only k means per batch reach the driver. ``batch_rows`` is
-    a minimum: a large table has at most ``MAX_BATCHES`` steps per pass.
+    nearest centre. Only k means per batch reach the driver. A pass has one step
+    for every ``batch_rows`` rows of the table.
     """
     context = df.sparkSession.sparkContext
     rows = df.withColumn("_v", F.col(vector).cast("array<double>"))
     total = rows.count()
-    batches = min(MAX_BATCHES, max(1, math.ceil(total / batch_rows)))
+    batches = max(1, math.ceil(total / batch_rows))
     start = uniform_sample(rows.select(key, "_v"), k, key, seed).orderBy(key).collect()
     centres = np.array([r["_v"] for r in start], np.float64)
     weight = np.zeros(len(centres))
     path = work_path(df.sparkSession, "batches")
     number_of = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(batches)).cast("int")
-    rows.select("_v", number_of.alias("_batch")).write.partitionBy("_batch").parquet(path)
+    rows.select("_v", number_of.alias("_batch")).repartition("_batch").write.partitionBy("_batch").parquet(path)
     stored = df.sparkSession.read.schema("_v array<double>, _batch int").parquet(path)
     for _ in range(passes):
         for number in range(batches):

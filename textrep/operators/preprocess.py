@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textrep.functions.text import MAX_TOKENS, MIN_LENGTH, first_tokens, long_enough
+from textrep.functions.text import MIN_LENGTH, first_tokens, long_enough
 from textrep.operators.dedup import first_of_each
 from textrep.sources.reviews import normalize
 
@@ -25,17 +25,18 @@ def clean_reviews(
     raw: DataFrame,
     order: list[str],
     min_length: int = MIN_LENGTH,
-    max_tokens: int | None = MAX_TOKENS,
+    max_tokens: int | None = None,
     deduplicate: bool = True,
 ) -> DataFrame:
-    """Clean and cut, drop short texts, keep the first copy of each review."""
-    cleaned = evaluated_once(normalize(raw, max_tokens), "cleaned_text")
+    """Clean, drop short texts, keep the first copy of each whole review, then cut if asked."""
+    cleaned = evaluated_once(normalize(raw), "cleaned_text")
     kept = cleaned.filter(long_enough("cleaned_text", min_length))
-    return first_of_each(kept, order) if deduplicate else kept
+    kept = first_of_each(kept, order) if deduplicate else kept
+    return kept.withColumn("cleaned_text", first_tokens("cleaned_text", max_tokens))
 
 
 def clean_reviews_legacy(
-    raw: DataFrame, order: list[str], min_length: int = MIN_LENGTH, max_tokens: int = MAX_TOKENS
+    raw: DataFrame, order: list[str], min_length: int = MIN_LENGTH, max_tokens: int | None = None
 ) -> DataFrame:
     """Older order: duplicates go first, then short texts, then the cut; tags leave no blank."""
     kept = first_of_each(normalize(raw, None, tag=""), order)

@@ -27,7 +27,10 @@ def require_rows(df: DataFrame, minimum: int = SAMPLE_ROWS) -> int:
 
 
 def align(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
-    """One-to-one join on the row id, which replaces alignment by position."""
+    """One-to-one join on the row id; keys of one side only, or repeated ones, are an error."""
+    found = check_alignment(left, right, key).first()
+    if not found["ok"]:
+        raise ValueError(f"the tables do not match: {found.asDict()}")
     return left.join(right, key)
 
 

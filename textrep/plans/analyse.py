@@ -16,7 +16,7 @@ from textrep.sources.runlogs import encoder_runtimes, read_log_lines
 from textrep.sources.store import read_meta, read_metrics, upsert_metrics, write_sorted_csv
 
 TASKS = ("validation", "clustering", "retrieval", "anomaly", "projection", "linear_probe", "efficiency", "summary")
-# Labels above this number are not laid out as columns.
+# Up to this number of classes the matrix has a column per class; beyond it, a row per cell.
 WIDE_CLASSES = 100
 
 
@@ -100,8 +100,11 @@ def _stored_rows(spark: SparkSession, path: str) -> int | None:
 
 def run_probe(spark: SparkSession, folder: str, encoder: str, results: str, target: str = "rating") -> None:
     table, scores = probe.evaluate_probe(vector_table(spark, folder, encoder), target)
-    classes = [r.truth for r in table.select("truth").distinct().orderBy("truth").limit(WIDE_CLASSES).collect()]
-    write_sorted_csv(confusion_wide(table, classes), f"{results}/confusion/{encoder}", "truth")
+    classes = [r.truth for r in table.select("truth").distinct().orderBy("truth").limit(WIDE_CLASSES + 1).collect()]
+    if len(classes) <= WIDE_CLASSES:
+        write_sorted_csv(confusion_wide(table, classes), f"{results}/confusion/{encoder}", "truth")
+    else:
+        write_sorted_csv(table, f"{results}/confusion/{encoder}", "truth", "pred")
     _store(spark, results, encoder, "linear_probe", scores)
 
 

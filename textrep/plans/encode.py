@@ -53,10 +53,19 @@ def tfidf_build(texts: DataFrame, models: str, components: int, max_features: in
     return build
 
 
+class SourceMissing(Exception):
+    """The word vectors of an encoder are not there."""
+
+
 def pretrained_build(texts: DataFrame, source: str, size: int) -> Build:
     def build() -> DataFrame:
         words = vocab.vocabulary(texts, tokens("cleaned_text"))
-        vectors = read_word_vectors(texts.sparkSession, source, size, words).persist()
+        try:
+            vectors = read_word_vectors(texts.sparkSession, source, size, words).persist()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise SourceMissing(source) from error
         mean.check_dimension(vectors, size)
         return mean.encode(texts, tokens("cleaned_text"), vectors, size, KEEP)
 
@@ -115,9 +124,7 @@ def encode_all(
             reused = materialize(
                 spark, f"{folder}/{encoder}", encoder, total, dim, build, force, at_most=encoder == "tfidf"
             )[1]
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        except SourceMissing:
             rows.append((encoder, None, None, False, True))
             continue
         seconds = None if reused else round(time.perf_counter() - start, 2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textrep.functions.formats import category_of_file
-from textrep.functions.text import MAX_TOKENS, MIN_LENGTH, long_enough
+from textrep.functions.text import MIN_LENGTH, first_tokens, long_enough
 from textrep.operators.dedup import first_of_each
 from textrep.operators.preprocess import evaluated_once
 from textrep.operators.sampling import first_per_group
@@ -20,7 +20,7 @@ def _write_kept(kept: DataFrame, output: str, overwrite: bool) -> None:
 
 def preprocess(
     spark: SparkSession, raw_folder: str, output: str, min_length: int = MIN_LENGTH,
-    max_tokens: int | None = MAX_TOKENS, deduplicate: bool = True, overwrite: bool = True,
+    max_tokens: int | None = None, deduplicate: bool = True, overwrite: bool = True,
     rows_per_category: int | None = None,
 ) -> DataFrame:
     """Write the cleaned table and its counts; returns the counts per category.
@@ -34,14 +34,14 @@ def preprocess(
     # them cannot ship fitted ML models to its tasks.
     raw = read_reviews(spark.newSession(), raw_folder)
     seen = Observation()
-    cleaned = evaluated_once(normalize(raw, max_tokens), "cleaned_text")
+    cleaned = evaluated_once(normalize(raw), "cleaned_text")
     short = F.count_if(~long_enough("cleaned_text", min_length)).alias("short")
     kept = cleaned.observe(seen, short).filter(long_enough("cleaned_text", min_length))
     if deduplicate:
         kept = first_of_each(kept, list(POSITION))
     if rows_per_category is not None:
         kept = first_per_group(kept, "category", list(POSITION), rows_per_category)
-    _write_kept(kept, output, overwrite)
+    _write_kept(kept.withColumn("cleaned_text", first_tokens("cleaned_text", max_tokens)), output, overwrite)
     counts = _counts(read_reviews(spark, raw_folder), spark.read.parquet(output)).persist()
     total = counts.agg(F.sum("raw_rows").alias("raw"), F.sum("kept_rows").alias("kept")).first()
     if not total.kept:

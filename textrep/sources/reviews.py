@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrep.functions.formats import ANY_FILE_GLOB, REVIEW_FILE_GLOB, category_of_file, file_name
-from textrep.functions.text import MAX_TOKENS, clean_text
+from textrep.functions.text import clean_text
 from textrep.schema import CLEANED_SCHEMA, RAW_SCHEMA
 
 POSITION = ("source_file", "block_start", "row_id")
@@ -50,7 +50,7 @@ def with_position(raw: DataFrame) -> DataFrame:
     )
 
 
-def normalize(raw: DataFrame, max_tokens: int | None = MAX_TOKENS, tag: str = " ") -> DataFrame:
+def normalize(raw: DataFrame, max_tokens: int | None = None, tag: str = " ") -> DataFrame:
     """The ten cleaned columns plus any position columns the input carries.
 
     Missing fields become null, a bad rating becomes null, and the category

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textrep.functions.text import MAX_TOKENS, MIN_LENGTH, long_enough
+from textrep.functions.text import MIN_LENGTH, first_tokens, long_enough
 from textrep.operators.dedup import key_columns
 from textrep.schema import DEDUP_KEYS, RAW_SCHEMA
 from textrep.sources.reviews import normalize
@@ -25,7 +25,7 @@ def read_review_stream(spark: SparkSession, folder: str, files_per_batch: int |
 
 
 def clean_stream(
-    raw: DataFrame, min_length: int = MIN_LENGTH, max_tokens: int | None = MAX_TOKENS,
+    raw: DataFrame, min_length: int = MIN_LENGTH, max_tokens: int | None = None,
     event_time: str | None = None, delay: str = "7 days",
 ) -> DataFrame:
     """Cleaned stream without duplicates.
@@ -34,13 +34,13 @@ def clean_stream(
     unless ``event_time`` names an ingestion time column: then a digest is
     forgotten ``delay`` after its last copy, which bounds the state.
     """
-    cleaned = normalize(raw, max_tokens)
+    cleaned = normalize(raw)
     if event_time:
-        cleaned = normalize(raw, max_tokens).withColumn(event_time, F.current_timestamp())
+        cleaned = cleaned.withColumn(event_time, F.current_timestamp())
     kept = cleaned.filter(long_enough("cleaned_text", min_length))
     lengths = [F.length(c).cast("string") for c in key_columns(kept, DEDUP_KEYS)]
     digest = F.sha2(F.concat_ws("|", *lengths, *key_columns(kept, DEDUP_KEYS)), 256)
-    marked = kept.withColumn("_digest", digest)
+    marked = kept.withColumn("_digest", digest).withColumn("cleaned_text", first_tokens("cleaned_text", max_tokens))
     if event_time:
         return marked.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
     return marked.dropDuplicates(["_digest"]).drop("_digest")

@@ -36,7 +36,7 @@ def clean_review_table(spark, folder):
 @query(f"""WITH {RAW_SQL},
 squeezed AS (SELECT *, {sql_clean('text', '')} AS full_text FROM raw),
 first AS (SELECT *, row_number() OVER (PARTITION BY user_id, full_text ORDER BY row_id) AS copy FROM squeezed)
-SELECT row_id, category, {sql_cut('full_text')} AS cleaned_text FROM first WHERE copy = 1 AND length(full_text) >= 10""")
+SELECT row_id, category, full_text AS cleaned_text FROM first WHERE copy = 1 AND length(full_text) >= 10""")
 def clean_review_table_legacy(spark, folder):
     return clean_reviews_legacy(raw_reviews(spark, folder), ["row_id"]).select("row_id", "category", "cleaned_text")
 
@@ -45,15 +45,15 @@ def clean_review_table_legacy(spark, folder):
 length({sql_clean('html')}) AS spaced_length FROM pages""")
 def clean_html(spark, folder):
     return table(spark, folder, "pages").select(
-        "page_id", tx.clean_text("html").alias("spaced"), tx.squeeze(tx.replace_tags("html", "")).alias("joined"),
-        tx.text_length(tx.clean_text("html", None)).alias("spaced_length"),
+        "page_id", tx.clean_text("html", 256).alias("spaced"), tx.squeeze(tx.replace_tags("html", "")).alias("joined"),
+        tx.text_length(tx.clean_text("html")).alias("spaced_length"),
     )
 
 
 @query(f"""SELECT doc_id AS row_id, TRY_CAST(CASE WHEN doc_id % 4 = 0 THEN 'n/a' ELSE CAST(doc_id % 5 + 1 AS VARCHAR) END AS DOUBLE)
 AS rating, CAST(NULL AS VARCHAR) AS title, text, source AS user_id, CAST(NULL AS VARCHAR) AS asin,
 CAST(NULL AS VARCHAR) AS parent_asin, doc_id % 2 = 0 AS verified_purchase, lang AS category, source || '.jsonl' AS source_file,
-{sql_cut(sql_clean('text'))} AS cleaned_text FROM documents""")
+{sql_clean('text')} AS cleaned_text FROM documents""")
 def normalized_reviews(spark, folder):
     odd = F.when(F.pmod("doc_id", F.lit(4)) == 0, "n/a").otherwise((F.pmod("doc_id", F.lit(5)) + 1).cast("string"))
     raw = table(spark, folder, "documents").select(
@@ -64,7 +64,7 @@ def normalized_reviews(spark, folder):
     return normalize(raw)
 
 
-@query(f"""WITH {RAW_SQL}, cleaned AS (SELECT *, {sql_cut(sql_clean('text'))} AS cleaned_text FROM raw)
+@query(f"""WITH {RAW_SQL}, cleaned AS (SELECT *, {sql_clean('text')} AS cleaned_text FROM raw)
 SELECT user_id, rating, category, min(cleaned_text) AS cleaned_text, count(*) AS copies FROM cleaned
 GROUP BY user_id, rating, category, md5(cleaned_text)""")
 def jsonl_scan(spark, folder):
@@ -152,11 +152,9 @@ def first_n_per_category(spark, folder):
 
 
 @query(f"""WITH {RAW_SQL} SELECT row_id, rating FROM (SELECT *, row_number() OVER (PARTITION BY rating ORDER BY {sql_hash('row_id')}, row_id)
-AS r FROM raw WHERE rating < 5) WHERE r <= 30""")
+AS r FROM raw) WHERE r <= 30""")
 def sample_per_rating(spark, folder):
-    """Four of the five ratings hold rows to choose from."""
-    rated = raw_reviews(spark, folder).filter("rating < 5")
-    return sampling.balanced_rating_sample(rated, 150).select("row_id", "rating")
+    return sampling.balanced_rating_sample(raw_reviews(spark, folder), 150).select("row_id", "rating")
 
 
 @query(f"""WITH {RAW_SQL} SELECT CAST(rating AS DOUBLE) AS rating, count(*) AS seen, least(count(*), 30) AS kept FROM raw GROUP BY 1""")

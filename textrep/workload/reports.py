@@ -250,7 +250,8 @@ def alignment(spark, folder):
 def aligned_rows(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
     report.require_rows(docs)
-    return report.align(docs, table(spark, folder, "labels"), "doc_id")
+    labels = table(spark, folder, "labels")
+    return report.align(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels, "doc_id")
 
 
 @query("""SELECT 'given' AS kind, count(*) AS rows_written, (SELECT count(*) FROM embeddings) AS total_rows, 64 AS dim, true AS complete,

@@ -76,7 +76,7 @@ raw AS (SELECT doc_id AS row_id, 1.0 + doc_id % 5 AS rating, text, source AS use
                CASE WHEN doc_id % 7 <> 0 THEN doc_id % 3 = 0 END AS verified_purchase FROM documents)"""
 
 CLEANED_SQL = f"""{RAW_SQL},
-cleaned AS (SELECT *, {sql_cut(sql_clean('text'))} AS cleaned_text FROM raw),
+cleaned AS (SELECT *, {sql_clean('text')} AS cleaned_text FROM raw),
 long_enough AS (SELECT * FROM cleaned WHERE length(cleaned_text) >= 10),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, cleaned_text ORDER BY row_id) AS copy
                         FROM long_enough) WHERE copy = 1)"""
