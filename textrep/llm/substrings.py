@@ -198,7 +198,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
     chosen = cut_lineage(chosen, "texts-with-common-marks")
     placed = annotate(chosen, "text", "b", BLOCKS, lambda: lambda part: _blocks(part, block, run), ["id"])
     placed = placed.select("id", F.explode("b.blocks").alias("x")).select("id", "x.*")
-    index = placed.groupBy("h1", "h2").agg(F.min("id").alias("source"))
+    index = placed.groupBy("h1", "h2").agg(F.min("id").alias("source"), F.max("id").alias("last"))
+    index = cut_lineage(index.where("source < last").drop("last"), "index")
     hits = placed.join(index, ["h1", "h2"]).where("source < id").groupBy("id").agg(F.collect_list(F.struct("at", "source")).alias("x"))
     rows = chosen.select("id", "text").join(hits.select("id", F.col("x.at").alias("at"), F.col("x.source").alias("source")), "id")
     parsed = annotate(rows, "text", "p", PARSED, lambda: lambda part: _parse(part, block), ["id"])
