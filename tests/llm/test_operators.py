@@ -86,6 +86,14 @@ def test_substrings(docs, nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_substrings_beyond_the_broadcast_bounds(docs, monkeypatch):
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "copy_of"]
+    want = sorted(map(str, substrings.remove_repeats(docs).select(columns).collect()))
+    monkeypatch.setattr(substrings, "MOST_ID_BYTES", 0)
+    monkeypatch.setattr(substrings, "MOST_MARK_BYTES", 0)
+    assert sorted(map(str, substrings.remove_repeats(docs).select(columns).collect())) == want
+
+
 def test_decontaminate(spark, docs, nothing):
     items = [("b", " ".join(f"word{i}" for i in range(25, 37))), ("a", "A, b!"), (None, "q3 q4"), ("c", None), ("d", ""), ("b", "nowhere here")]
     bench = spark.createDataFrame(items, "item_id string, text string")
