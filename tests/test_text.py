@@ -7,6 +7,7 @@ from textrep.functions import formats, text
 from textrep.operators import sampling, select, vocab
 from textrep.operators.dedup import first_of_each, unseen
 from textrep.operators.preprocess import clean_reviews
+from textrep.sources import runlogs
 from textrep.sources.reviews import discover, label_column, normalize, read_reviews
 from textrep.sources.wordvectors import parse_word_vectors
 
@@ -205,3 +206,34 @@ def test_long_reviews_that_differ_late_are_both_kept(spark):
     assert [(r.row_id, r.cleaned_text) for r in kept] == [(0, f"{head} one"), (1, f"{head} two")]
     cut = clean_reviews(raw, ["row_id"], max_tokens=256).select("cleaned_text").collect()
     assert [len(r.cleaned_text.split()) for r in cut] == [256, 256]
+
+
+def test_sample_ends_in_a_crowded_slice(spark):
+    """Narrowing over several prefixes takes the same rows as one ranking."""
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("string").alias("g"))
+    rows = rows.withColumn("g", F.when(F.col("row_id") < 5, None).otherwise(F.col("g")))
+    data = [(r.g, r._h, r.row_id) for r in rows.withColumn("_h", sampling.hash_order("row_id")).collect()]
+    for few in (0, 1, sampling.FEW):
+        for size in (0, 1, 17, 700, 999, 5000):
+            got = {r.row_id for r in sampling.mark_quota(rows, size, few=few).filter("taken").collect()}
+            assert got == {k for _, _, k in sorted(data, key=lambda x: x[1:])[:size]}
+    quotas = spark.createDataFrame([("true", 40), ("false", 1200)], "g string, quota int")
+    got = {r.row_id for r in sampling.mark_quota(rows, quotas, ["g"], few=1).filter("taken").collect()}
+    want = [sorted((h, k) for g, h, k in data if g == name)[:n] for name, n in (("true", 40), ("false", 1200))]
+    assert got == {k for part in want for _, k in part}
+    assert sampling.uniform_sample(rows.limit(0), 5).count() == 0
+
+
+def test_log_lines_of_any_encoder(spark):
+    lines = spark.createDataFrame(
+        [("a/x.log", 1, 1, "Encode mine: 100%|####| 9/9 [01:10<00:00,  2.50s/it]"),
+         ("a/x.log", 1, 2, "Encode other: 100%|####| 9/9 [0:20<00:00, 4.00row/s, loss=1]"),
+         ("a/mine_2.log", 0, 1, "\tElapsed (wall clock) time (h:mm:ss or m:ss): 1:02:03.5"),
+         ("a/mine_2.log", 0, 2, "\tElapsed (wall clock) time: none")],
+        "path string, modified int, line_no int, line string")
+    rows = {r.encoder: r for r in runlogs.encoder_runtimes(lines, runlogs.progress_labels(["mine", "other", "lost"])).collect()}
+    assert set(rows) == {"mine", "other"}
+    assert (rows["mine"].elapsed_seconds, rows["mine"].throughput_per_second) == (70.0, 0.4)
+    assert (rows["other"].elapsed_seconds, rows["other"].throughput_per_second) == (20.0, 4.0)
+    older = runlogs.encoder_runtimes(lines.filter("modified = 0"), runlogs.progress_labels(["mine"])).first()
+    assert (older.elapsed_seconds, older.source) == (3723.5, runlogs.CLOCK_SOURCE)

@@ -1,9 +1,9 @@
 """Repeatable exact-size samples chosen by the order of a hash of the row id.
 
-No operator here ranks a whole table or a whole label: the hash space is cut
-into equal buckets, the counts per bucket tell which buckets are wanted in
-full, and only the one bucket that crosses the quota is ranked. A label that
-holds a third of all rows costs a third of one bucket in one task.
+No operator here ranks a whole table or a whole label, and no window sees more
+than keys: counts per hash prefix lead to the prefix in which the quota ends,
+longer prefixes narrow it until few rows share it, and the last wanted hash and
+key of each group then flag all rows in one pass.
 """
 
 from __future__ import annotations
@@ -14,10 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textrep.session import cut_lineage
+
 SEED = 42
-# Hexadecimal digits that name a bucket: 16**3 = 4,096 buckets.
-BUCKET_DIGITS = 3
 HASH_DIGITS = 15
+# Hexadecimal digits by which a prefix grows: 16**3 = 4,096 counts per group.
+STEP = 3
+# Rows that may share the last prefix.
+FEW = 4096
 
 
 def hash_order(key: str | Column, seed: int = SEED) -> Column:
@@ -26,6 +30,51 @@ def hash_order(key: str | Column, seed: int = SEED) -> Column:
     return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, HASH_DIGITS)
 
 
+def _beside(rows: DataFrame, found: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with the figures of their group; without a group that is one row, taken as literals."""
+    if group:
+        return rows.join(found, group, "left")
+    only = found.first()
+    return rows.select("*", *[F.lit(only[f.name] if only else None).cast(f.dataType).alias(f.name) for f in found.schema])
+
+
+def _crossing(counts: DataFrame, order: list[str], group: list[str]) -> DataFrame:
+    """``(group..., order..., _left, _n)``: the last wanted row of counts per group, and the quota left for it."""
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy(*order)) - F.col("_n")
+    wanted = counts.withColumn("_left", F.col("_left") - before).filter("_left > 0")
+    last = wanted.groupBy(*group).agg(F.max(F.struct(*order, "_left", "_n")).alias("_c"))
+    return last.select(*group, "_c.*").filter("_c is not null")
+
+
+def _cutoffs(rows: DataFrame, quotas: DataFrame | int, group: list[str], few: int) -> DataFrame:
+    """``(group..., _stop, _last)`` for rows ``(group..., _k, _h)``: hash and key where each group's quota ends.
+
+    ``_last`` is null where everything below ``_stop`` is wanted.
+    """
+    found, inside = [], rows
+    for digits in range(STEP, HASH_DIGITS + 1, STEP):
+        counts = inside.groupBy(*group, F.substring("_h", 1, digits).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        if isinstance(quotas, int):
+            counts = counts.withColumn("_left", F.lit(quotas).cast("long"))
+        else:
+            counts = _beside(counts, quotas, group)
+        ends = cut_lineage(_crossing(counts, ["_p"], group), "sample-ends")
+        # "g" sorts behind every hexadecimal digit.
+        whole = ends.filter("_left >= _n").select(*group, F.concat("_p", F.lit("g")).alias("_stop"))
+        found.append(whole.withColumn("_last", F.lit(None).cast(rows.schema["_k"].dataType)))
+        quotas = ends.filter("_left < _n").select(*group, F.col("_p").alias("_inside"), "_left")
+        inside = _beside(rows, quotas, group).filter(F.col("_h").startswith(F.col("_inside"))).drop("_inside", "_left")
+        quotas = quotas.drop("_inside")
+        if (ends.filter("_left < _n").agg(F.max("_n")).first()[0] or 0) <= few:
+            break
+    keys = inside.groupBy(*group, "_h", "_k").agg(F.count(F.lit(1)).alias("_n"))
+    ends = _crossing(_beside(keys, quotas, group), ["_h", "_k"], group)
+    out = ends.select(*group, F.col("_h").alias("_stop"), F.col("_k").alias("_last"))
+    for whole in found:
+        out = out.unionByName(whole)
+    return cut_lineage(out, "sample-cutoffs")
+
+
 def mark_quota(
     df: DataFrame,
     quotas: DataFrame | int,
@@ -33,33 +82,23 @@ def mark_quota(
     key: str = "row_id",
     seed: int = SEED,
     flag: str = "taken",
+    few: int = FEW,
 ) -> DataFrame:
     """Every row with a flag: among the first ``quota`` of its group in hash order.
 
     ``quotas`` is one number for all groups or a table ``(group..., quota)``.
-    The table of wanted buckets (4,096 per group) is counted first, so its size
-    is known when the join is planned: it is broadcast when it is small, and
-    the rows themselves are then not shuffled, but for the crossing buckets.
+    Only groups, keys and hashes are counted; the rows themselves are flagged
+    against one cutoff per group and are not shuffled while the cutoffs are few
+    enough to be broadcast. Keys are distinct; rows of one key go together. A
+    row with a null group is not taken.
     """
     group = list(group)
-    hashed = df.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS))
-    counts = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    if isinstance(quotas, int):
-        counts = counts.withColumn("quota", F.lit(quotas).cast("long"))
-    else:
-        counts = counts.join(quotas.select(*group, F.col("quota").cast("long")), group)
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.coalesce(F.sum("_n").over(before), F.lit(0))
-    wanted = counts.withColumn("_left", F.col("quota") - taken).filter("_left > 0").drop("quota").persist()
-    wanted.count()
-    on = [*group, "_b"]
-    joined = hashed.join(wanted, on, "left")
-    crosses = F.coalesce(F.col("_left") < F.col("_n"), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(*on).orderBy("_h", key))
-    columns = [F.col(c) for c in df.columns]
-    sure = joined.filter(~crosses).select(*columns, F.col("_left").isNotNull().alias(flag))
-    part = joined.filter(crosses).withColumn("_r", rank).select(*columns, (F.col("_r") <= F.col("_left")).alias(flag))
-    return sure.unionByName(part)
+    order = hash_order(key, seed)
+    rows = df.select(*group, F.col(key).alias("_k"), order.alias("_h")).filter("_h is not null")
+    goals = quotas if isinstance(quotas, int) else quotas.select(*group, F.col("quota").cast("long").alias("_left"))
+    marked = _beside(df.withColumn("_h", order), _cutoffs(rows, goals, group, few), group)
+    below = (F.col("_h") < F.col("_stop")) | ((F.col("_h") == F.col("_stop")) & (F.col(key) <= F.col("_last")))
+    return marked.select(*df.columns, F.coalesce(below, F.lit(False)).alias(flag))
 
 
 def take_quota(

@@ -12,7 +12,7 @@ from textrep.operators import anomaly, clustering, histogram, probe, projection,
 from textrep.operators.classification import confusion_wide
 from textrep.plans.encode import read_run_summary
 from textrep.session import spread
-from textrep.sources.runlogs import encoder_runtimes, read_log_lines
+from textrep.sources.runlogs import encoder_runtimes, progress_labels, read_log_lines
 from textrep.sources.store import read_meta, read_metrics, upsert_metrics, write_sorted_csv
 
 TASKS = ("validation", "clustering", "retrieval", "anomaly", "projection", "linear_probe", "efficiency", "summary")
@@ -117,7 +117,7 @@ def run_efficiency(spark: SparkSession, folder: str, encoders: Sequence[str], re
     for part in metas[1:]:
         meta = meta.unionByName(part)
     if logs:
-        times = encoder_runtimes(read_log_lines(spark, logs))
+        times = encoder_runtimes(read_log_lines(spark, logs), progress_labels(encoders))
     else:
         times = spark.createDataFrame([], "encoder string, elapsed string, elapsed_seconds double, source string")
     rows = report.efficiency(meta, read_run_summary(spark, folder), times)

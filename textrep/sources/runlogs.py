@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ PROGRESS_LABELS = {
     "bge": ["Encode bge"],
 }
 CLOCK_SOURCE, BAR_SOURCE, TIMER_SOURCE = "/usr/bin/time -v", "tqdm", "internal_perf_counter"
-WALL_CLOCK = "Elapsed (wall clock) time"
-WALL_CLOCK_VALUE = r"Elapsed \(wall clock\) time.*?:\s*([0-9:.]+)\s*$"
-FINISHED_BAR = r"\[([0-9:]+)<00:00,\s*([0-9.]+)(?:it|chunk)/s\]"
+# The clock that ends a wall-clock line, and a bar with nothing left to do: its time and its rate per second or per item.
+CLOCK_LINE = r"\(wall clock\).*\s((?:\d+:){1,2}\d+(?:\.\d+)?)\s*$"
+FINISHED_BAR = r"\[([\d:]+)<[0:]+,\s*([\d.]+)(s/\w+|\w+/s)[^\]]*\]"
 
 
 def read_log_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,10 +39,18 @@ def read_log_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def wall_clock_text(line: Column) -> Column:
     """Elapsed text of a ``time -v`` line, else null."""
-    after = F.trim(F.element_at(F.split(line, r"\):"), -1))
-    plain = F.trim(F.regexp_extract(line, WALL_CLOCK_VALUE, 1))
-    found = F.when(line.contains("):"), after).otherwise(plain)
-    return F.when(line.contains(WALL_CLOCK) & (found != ""), found)
+    return F.nullif(F.regexp_extract(line, CLOCK_LINE, 1), F.lit(""))
+
+
+def bar_rate(line: Column) -> Column:
+    """Items per second of a finished bar; slow bars show seconds per item."""
+    shown = F.regexp_extract(line, FINISHED_BAR, 2).try_cast("double")
+    return F.when(F.regexp_extract(line, FINISHED_BAR, 3).startswith("s/"), F.try_divide(F.lit(1.0), shown)).otherwise(shown)
+
+
+def progress_labels(encoders: Iterable[str]) -> dict[str, list[str]]:
+    """The labels of each encoder; one without a fixed list writes ``Encode <name>``."""
+    return {e: PROGRESS_LABELS.get(e, [f"Encode {e}"]) for e in encoders}
 
 
 def encoder_runtimes(lines: DataFrame, labels: dict[str, list[str]] | None = None) -> DataFrame:
@@ -89,9 +99,8 @@ def encoder_runtimes(lines: DataFrame, labels: dict[str, list[str]] | None = Non
     newest = Window.partitionBy("encoder").orderBy(F.col("modified").desc(), F.col("path").desc())
     best = results.withColumn("_r", F.row_number().over(newest)).filter("_r = 1")
     elapsed = F.when(F.col("by_clock"), F.col("clock")).otherwise(F.regexp_extract("bar_line", FINISHED_BAR, 1))
-    rate = F.regexp_extract("bar_line", FINISHED_BAR, 2).try_cast("double")
     return best.withColumn("elapsed", elapsed).select(
         "encoder", "elapsed", duration_seconds(F.col("elapsed")).alias("elapsed_seconds"),
-        F.when(~F.col("by_clock"), rate).alias("throughput_per_second"), "path",
+        F.when(~F.col("by_clock"), bar_rate(F.col("bar_line"))).alias("throughput_per_second"), "path",
         F.when(F.col("by_clock"), CLOCK_SOURCE).otherwise(BAR_SOURCE).alias("source"),
     )
