@@ -252,6 +252,28 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_stream_load_keeps_the_first_copy(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+
+    def put(name, lines):
+        rows = [f'{{"rating": {r}, "text": "{t}", "user_id": "u"}}' for r, t in lines]
+        (tmp_path / "in" / name).write_text("\n".join(rows) + "\n")
+
+    put("a.jsonl", [(1, "the first long text"), (2, "the first long text"), (3, "short")])
+    put("b.jsonl", [(4, "the first long text"), (5, "the second long text")])
+    stream.load_reviews(spark, source, out, state).awaitTermination()
+    put("c.jsonl", [(3, "the second long text"), (2, "the third long text"), (1, "the third long text")])
+    for _ in range(2):
+        stream.load_reviews(spark, source, out, state).awaitTermination()
+    got = spark.read.parquet(out).orderBy("cleaned_text").collect()
+    assert [(r.cleaned_text, r.rating, r.batch) for r in got] == [
+        ("the first long text", 1, 0), ("the second long text", 5, 0), ("the third long text", 2, 1)]
+    counts = spark.read.json(f"{out}.counts").groupBy("batch").agg(
+        *[F.sum(c).alias(c) for c in ("raw_rows", "dropped_short", "dropped_duplicates", "kept_rows")]).orderBy("batch")
+    assert [tuple(r) for r in counts.collect()] == [(0, 5, 1, 2, 2), (1, 3, 0, 2, 1)]
+
+
 def test_bounded_stream_state(spark, tmp_path):
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     spark.range(50).select(F.lit("one long enough text").alias("text"), F.lit("u").alias("user_id")).write.json(source)

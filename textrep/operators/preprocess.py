@@ -45,25 +45,28 @@ def clean_reviews_legacy(
     )
 
 
-def preprocess_statistics(raw: DataFrame, order: list[str], min_length: int = MIN_LENGTH) -> DataFrame:
+def drop_counts(cleaned: DataFrame, kept: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """Raw, short, duplicate and kept rows of every category.
 
     Each side is counted with map-side partial sums; only one row per category
     and branch is combined.
     """
-    cleaned = evaluated_once(normalize(raw), "cleaned_text")
-    long_text = long_enough("cleaned_text", min_length)
+    zero = F.lit(0).cast("long")
     scanned = cleaned.groupBy("category").agg(
         F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(~long_text).alias("dropped_short"),
-        F.lit(0).cast("long").alias("kept_rows"),
+        F.count_if(~long_enough("cleaned_text", min_length)).alias("dropped_short"),
+        zero.alias("kept_rows"),
     )
-    kept = first_of_each(cleaned.filter(long_text), order).groupBy("category").agg(
-        F.lit(0).cast("long").alias("raw_rows"),
-        F.lit(0).cast("long").alias("dropped_short"),
-        F.count(F.lit(1)).alias("kept_rows"),
+    left = kept.groupBy("category").agg(
+        zero.alias("raw_rows"), zero.alias("dropped_short"), F.count(F.lit(1)).alias("kept_rows")
     )
-    total = scanned.unionByName(kept).groupBy("category").agg(
+    total = scanned.unionByName(left).groupBy("category").agg(
         *[F.sum(c).alias(c) for c in ("raw_rows", "dropped_short", "kept_rows")]
     )
     return total.withColumn("dropped_duplicates", F.expr("raw_rows - dropped_short - kept_rows"))
+
+
+def preprocess_statistics(raw: DataFrame, order: list[str], min_length: int = MIN_LENGTH) -> DataFrame:
+    """Counts of the rows that cleaning keeps and drops."""
+    cleaned = evaluated_once(normalize(raw), "cleaned_text")
+    return drop_counts(cleaned, first_of_each(cleaned.filter(long_enough("cleaned_text", min_length)), order), min_length)

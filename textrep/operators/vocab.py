@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textrep.session import cut_lineage
+
 # A vocabulary above this size is joined instead of being sent to every task.
 LOOKUP_LIMIT = 200_000
 
@@ -55,21 +57,26 @@ def ranked_vocabulary(counts: DataFrame, max_vocab: int, min_count: int = 1) ->
     return _dense_ids(kept)
 
 
-def _dense_ids(kept: DataFrame) -> DataFrame:
-    """Ids for a vocabulary without a cap.
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place, from 0, in an order without ties.
 
-    Tokens are ranked inside (count, first two bytes), and the sizes of the
-    earlier slices are added, so no task ranks the whole table.
+    Rows are dealt by ranges of the order and ranked inside them, and the sizes
+    of the ranges before are added; only one row per range meets in one task.
+    The ranges are written, because a repeated deal could cut them elsewhere.
     """
-    sliced = kept.withColumn("_s", F.substring(F.hex(F.encode("token", "UTF-8")), 1, 4))
-    key = [F.col("cnt").desc(), F.col("_s")]
-    sizes = sliced.groupBy("cnt", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("cnt", "_s", F.coalesce(before, F.lit(0)).alias("_o"))
-    rank = F.row_number().over(Window.partitionBy("cnt", "_s").orderBy("token")) - 1
-    return sliced.withColumn("_r", rank).join(offsets, ["cnt", "_s"]).select(
-        "token", "cnt", (F.col("_o") + F.col("_r")).cast("int").alias("id")
-    )
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    placed = dealt.withColumn("_rank", rank).join(offsets, "_range")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_rank")).alias(name))
+
+
+def _dense_ids(kept: DataFrame) -> DataFrame:
+    """Ids for a vocabulary without a cap."""
+    ids = numbered(kept, [F.col("cnt").desc(), F.col("token")], "id")
+    return ids.select("token", "cnt", F.col("id").cast("int").alias("id"))
 
 
 def coverage(corpus: DataFrame, known: DataFrame) -> DataFrame:
@@ -148,8 +155,8 @@ def cooccurrence(ids: DataFrame, window: int = 5) -> DataFrame:
 
 def label_codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
     """Labels numbered in sorted order from 0; a null label gets -1."""
-    order = df.select(F.col(label).alias("_l")).filter("_l is not null").distinct()
-    coded = order.withColumn("_c", (F.row_number().over(Window.orderBy("_l")) - 1).cast("int"))
+    labels = df.select(F.col(label).alias("_l")).filter("_l is not null").distinct()
+    coded = numbered(labels, [F.col("_l")], "_c").withColumn("_c", F.col("_c").cast("int"))
     return df.join(coded, F.col(label) == F.col("_l"), "left").withColumn(
         code, F.coalesce("_c", F.lit(-1))
     ).drop("_l", "_c")

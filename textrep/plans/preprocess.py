@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrep.functions.formats import category_of_file
 from textrep.functions.text import MIN_LENGTH, first_tokens, long_enough
 from textrep.operators.dedup import first_of_each
-from textrep.operators.preprocess import evaluated_once
+from textrep.operators.preprocess import drop_counts, evaluated_once
 from textrep.operators.sampling import first_per_group
 from textrep.schema import CLEANED_SCHEMA
 from textrep.sources.reviews import POSITION, normalize, read_reviews, write_table
@@ -25,43 +24,24 @@ def preprocess(
 ) -> DataFrame:
     """Write the cleaned table and its counts; returns the counts per category.
 
-    The texts are read and cleaned once, in the job that writes the table; the
-    short texts are counted on the way. Raw rows per category need no field of
-    a record, and kept rows only one column of the result. With
-    ``rows_per_category`` the first rows of each category are written.
+    The rows are counted by aggregates of their own, so a task that runs twice
+    counts nothing twice. With ``rows_per_category`` the first rows of each
+    category are written.
     """
-    # Observed metrics belong to a session of their own: a session that holds
-    # them cannot ship fitted ML models to its tasks.
-    raw = read_reviews(spark.newSession(), raw_folder)
-    seen = Observation()
-    cleaned = evaluated_once(normalize(raw), "cleaned_text")
-    short = F.count_if(~long_enough("cleaned_text", min_length)).alias("short")
-    kept = cleaned.observe(seen, short).filter(long_enough("cleaned_text", min_length))
+    cleaned = evaluated_once(normalize(read_reviews(spark, raw_folder)), "cleaned_text")
+    kept = cleaned.filter(long_enough("cleaned_text", min_length))
     if deduplicate:
         kept = first_of_each(kept, list(POSITION))
     if rows_per_category is not None:
         kept = first_per_group(kept, "category", list(POSITION), rows_per_category)
     _write_kept(kept.withColumn("cleaned_text", first_tokens("cleaned_text", max_tokens)), output, overwrite)
-    counts = _counts(read_reviews(spark, raw_folder), spark.read.parquet(output)).persist()
-    total = counts.agg(F.sum("raw_rows").alias("raw"), F.sum("kept_rows").alias("kept")).first()
-    if not total.kept:
+    counts = drop_counts(cleaned, spark.read.parquet(output), min_length).persist()
+    total = counts.agg(*[F.sum(c).alias(c) for c in counts.columns[1:]])
+    if not total.first().kept_rows:
         raise RuntimeError("no rows are left after cleaning")
-    sampled = rows_per_category is not None
-    totals = spark.createDataFrame(
-        [(total.raw, total.kept, seen.get["short"], None if sampled else total.raw - total.kept - seen.get["short"])],
-        "raw_rows long, kept_rows long, dropped_short long, dropped_duplicates long",
-    )
+    totals = total if rows_per_category is None else total.withColumn("dropped_duplicates", F.lit(None).cast("long"))
     totals.write.mode("overwrite").json(f"{output}.summary/totals")
-    counts.write.mode("overwrite").json(f"{output}.summary/categories")
-    return counts
-
-
-def _counts(raw: DataFrame, kept: DataFrame) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    before = raw.groupBy(category_of_file(F.col("source_file")).alias("category")).agg(
-        F.count(F.lit(1)).alias("raw_rows"), zero.alias("kept_rows")
-    )
-    after = kept.groupBy("category").agg(zero.alias("raw_rows"), F.count(F.lit(1)).alias("kept_rows"))
-    return before.unionByName(after).groupBy("category").agg(
-        F.sum("raw_rows").alias("raw_rows"), F.sum("kept_rows").alias("kept_rows")
-    )
+    shown = counts.select("category", "raw_rows", "kept_rows")
+    shown.write.mode("overwrite").json(f"{output}.summary/categories")
+    counts.unpersist()
+    return spark.read.schema(shown.schema).json(f"{output}.summary/categories")

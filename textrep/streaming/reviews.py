@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textrep.functions.text import MIN_LENGTH, first_tokens, long_enough
-from textrep.operators.dedup import key_columns
-from textrep.schema import DEDUP_KEYS, RAW_SCHEMA
-from textrep.sources.reviews import normalize
+from textrep.operators.dedup import first_of_each, key_columns, unseen
+from textrep.operators.preprocess import drop_counts, evaluated_once
+from textrep.schema import CLEANED_SCHEMA, DEDUP_KEYS, RAW_SCHEMA
+from textrep.session import cut_lineage
+from textrep.sources.reviews import POSITION, normalize
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_review_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of raw records from arriving JSON-lines files."""
+def _lines(spark: SparkSession, folder: str, files_per_batch: int | None) -> DataFrame:
     reader = spark.readStream.schema(RAW_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(folder).select("*", F.col("_metadata.file_name").alias("source_file"))
+    return reader.json(folder)
+
+
+def read_review_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of raw records from arriving JSON-lines files."""
+    return _lines(spark, folder, files_per_batch).select("*", F.col("_metadata.file_name").alias("source_file"))
 
 
 def clean_stream(
@@ -64,6 +70,35 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def load_reviews(
+    spark: SparkSession, folder: str, path: str, checkpoint: str, min_length: int = MIN_LENGTH, files_per_batch: int | None = None
+) -> StreamingQuery:
+    """Append the first copy of every new review to the table ``path`` and stop.
+
+    Of the copies in a batch the first in (file, line) order stays, and none of
+    a review that an earlier batch has loaded. State is the table itself. Every
+    batch has a folder of its own, which a repeated batch replaces; its raw,
+    short, duplicate and kept rows per category are in ``<path>.counts``.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        placed = batch.withColumn("row_id", F.monotonically_increasing_id())
+        cleaned = cut_lineage(evaluated_once(normalize(placed), "cleaned_text"), "arrived")
+        kept = cleaned.filter(long_enough("cleaned_text", min_length))
+        new = first_of_each(kept, list(POSITION))
+        if number:
+            new = unseen(new, session.read.parquet(path).filter(F.col("batch") < number))
+        new.select(*CLEANED_SCHEMA.names).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        loaded = session.read.parquet(f"{path}/batch={number}")
+        drop_counts(cleaned, loaded, min_length).write.mode("overwrite").json(f"{path}.counts/batch={number}")
+
+    arriving = _lines(spark, folder, files_per_batch).select(
+        "*", F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("block_start")
+    )
+    return arriving.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def encode_stream(
     spark: SparkSession, table: str, path: str, checkpoint: str, encode: Callable[[DataFrame], DataFrame]
 ) -> StreamingQuery:
