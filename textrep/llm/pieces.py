@@ -105,41 +105,64 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> Words:
     return Words(data, starts, np.append(starts[1:], len(data))[: len(starts)], np.searchsorted(starts, bounds))
 
 
-def forward(data: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """For each place after a byte, the distribution of the length of the piece that ends there, summed up over lengths; and the piece of each length."""
+@dataclass
+class Lattice:
+    """The pieces that end at each place, by length from 1 to the place's width, one place after another.
+
+    ``share`` sums the path weights over the lengths, relative to the heaviest.
+    """
+
+    begin: np.ndarray
+    width: np.ndarray
+    share: np.ndarray
+    piece: np.ndarray
+
+    def draw(self, at: np.ndarray, chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(piece, length)`` of a drawn piece that ends at each place."""
+        cell = self.begin[at]
+        border = chance * self.share[cell + self.width[at] - 1]
+        on = np.flatnonzero(self.share[cell] <= border)
+        while len(on):
+            cell[on] += 1
+            on = on[self.share[cell[on]] <= border[on]]
+        return self.piece[cell], cell - self.begin[at] + 1
+
+
+def forward(data: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> Lattice:
+    """The lattice of stretches; places are laid out by their offset, so that one step of all stretches is one block."""
     sums, inverse = prefix_sums(data), _powers(_INVERSE, len(data))
     sizes = np.diff(first)
     longest = int(min(vocabulary.longest, sizes.max(initial=1)))
     offset = np.arange(len(data)) - np.repeat(first[:-1], sizes) + 1
-    piece = np.full((len(data), longest), -1, np.int32)
-    end, used = np.arange(len(data)), 1
+    order = np.argsort(offset, kind="stable")
+    width = np.minimum(offset, longest)
+    stops = np.cumsum(width[order])
+    begin = np.empty(len(data), np.int64)
+    begin[order] = stops - width[order]
+    piece = np.full(stops[-1] if len(stops) else 0, -1, np.int32)
+    end = np.arange(len(data))
     for length in range(1, longest + 1):
         end = end[offset[end] >= length]
-        begin = end + 1 - length
-        found = vocabulary.find((sums[end + 1] - sums[begin]) * inverse[begin])
-        if (found >= 0).any():
-            piece[end, length - 1] = found
-            used = length
-    longest, piece = used, piece[:, :used]
-    alone = piece[:, 0] < 0
-    weight = np.where(piece >= 0, vocabulary.weight[piece], -np.inf).astype(np.float64)
-    weight[alone, 0] = BYTE
-    piece[alone, 0] = vocabulary.byte_id[data[alone]]
-    total, share = np.zeros(len(data)), np.empty(weight.shape)
-    order = np.argsort(offset, kind="stable")
+        start = end + 1 - length
+        piece[begin[end] + length - 1] = vocabulary.find((sums[end + 1] - sums[start]) * inverse[start])
+    share = np.append(vocabulary.weight, -np.inf)[piece]  # -1 is no piece
+    alone = np.flatnonzero(piece[begin] < 0)
+    share[begin[alone]] = BYTE
+    piece[begin[alone]] = vocabulary.byte_id[data[alone]]
+    total = np.zeros(len(data))
     steps = np.searchsorted(offset[order], np.arange(1, sizes.max(initial=0) + 2))
     for step in range(1, len(steps)):
-        at = order[steps[step - 1] : steps[step]]
-        width = min(step, longest)
-        back = at[:, None] - np.arange(1, width + 1)
-        before = np.where(np.arange(1, width + 1) == step, 0.0, total[np.maximum(back, 0)])
-        path = before + weight[at, :width]
+        at, wide = order[steps[step - 1] : steps[step]], min(step, longest)
+        path = share[begin[at[0]] :][: len(at) * wide].reshape(-1, wide)
+        before = total[np.maximum(at[:, None] - np.arange(1, wide + 1), 0)]
+        if step <= longest:
+            before[:, -1] = 0.0
+        path += before
         top = path.max(axis=1)
-        path = np.cumsum(np.exp(path - top[:, None]), axis=1)
+        path -= top[:, None]
+        np.cumsum(np.exp(path, out=path), axis=1, out=path)
         total[at] = top + np.log(path[:, -1])
-        share[at, :width] = path
-        share[at, width:] = path[:, -1:]
-    return share, piece
+    return Lattice(begin, width, share, piece)
 
 
 def sample(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary) -> pa.ListArray:
@@ -151,7 +174,7 @@ def sample(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary) -> pa.List
     sizes = (cut.ends - cut.starts)[index]
     first = np.concatenate([[0], np.cumsum(sizes)])
     place = np.repeat(cut.starts[index] - first[:-1], sizes) + np.arange(first[-1])
-    share, piece = forward(data[place], first, vocabulary)
+    lattice = forward(data[place], first, vocabulary)
     number = np.arange(len(which)) - np.repeat(cut.first[:-1], cut.counts)
     seed = mix(np.repeat(keys, cut.counts) + mix(number.astype(np.uint64)))
     live = np.arange(len(which))
@@ -159,11 +182,11 @@ def sample(texts: pa.Array, keys: np.ndarray, vocabulary: Vocabulary) -> pa.List
     taken, owners, steps = [], [], np.zeros(len(which), np.int64)
     while len(live):
         draw = (mix(seed[live] + steps[live].astype(np.uint64) * np.uint64(_BASE)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-        length = (share[at] <= draw[:, None] * share[at, -1][:, None]).sum(axis=1)
-        taken.append(piece[at, length])
+        ids, length = lattice.draw(at, draw)
+        taken.append(ids)
         owners.append(live)
         steps[live] += 1
-        at = at - length - 1
+        at = at - length
         on = at >= origin
         live, at, origin = live[on], at[on], origin[on]
     begin = np.concatenate([[0], np.cumsum(steps)])
