@@ -150,6 +150,20 @@ def test_personal(spark):
     assert row.k == ["iban", "ssn"] and row.m == "[IBAN], DE88370400440532013000 my ssn [SSN]"
 
 
+def test_bank_accounts_end_at_the_length_of_their_country(spark):
+    plain, four, british = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    cases = [
+        (f"pay {plain} Please confirm", [plain]), (f"{british} Thanks", [british]), (f"IBAN {four} BIC COBADEFFXXX.", [four]),
+        (f"{plain} 2024", [plain]), (f"é\U0001f600 {four} {british} NO9386011117947", [four, british, "NO9386011117947"]),
+        (f"AT99 {four} 12", [four]), (f"{plain}x, X{plain}, {plain}0, DE88370400440532013000 A", []), ("MT84MALT011000012345MTLCAST001S", ["MT84MALT011000012345MTLCAST001S"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in personal.find_personal(df, "found").collect():
+        text, want = cases[r.doc_id]
+        got = [s for s in r.found if s.kind == "iban"]
+        assert [s.text for s in got] == want and [text[s.start : s.end] for s in got] == want, r
+
+
 def test_pieces(docs, nothing):
     hard = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(20, "é▁x 日本 \U0001f600\n\t  end  "), (21, "a" * 3000)], "doc_id long, text string"))
     got = pieces.round_trip(hard).collect()

@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from textrep.llm.frames import free_name
 
 _LOCAL = "A-Za-z0-9._%+-"
+#: Lengths of bank account numbers by country: the registry of ISO 13616, and countries that use them without an entry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM CY DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
 #: Base kinds in the order of the result; the pattern of each finds the same leftmost matches as its plain form.
 PATTERNS = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -21,7 +29,8 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+(?<=[0-9])(?<!\+[0-9])",
     # Added by the method, after the base kinds.
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Takes one letter and looks ahead at the number (group 1), so that no candidate hides a number that starts inside it.
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_IBAN})(?![A-Za-z0-9]))[A-Z]",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -81,10 +90,13 @@ def _confirmed(kind: str, span: Column) -> Column:
 
 
 def _found(kind: str, text: Column) -> tuple[Column, Column]:
-    """Matches of a kind and the pieces before each of them; both empty without a hint."""
+    """Matches of a kind and the pieces before each of them; both empty without a hint.
+
+    Candidates of ``iban`` may overlap: only their first letter parts the pieces.
+    """
     none = F.array().cast("array<string>")
     tried = text.rlike(HINT[kind])
-    matches = F.when(tried, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(none)
+    matches = F.when(tried, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(int(kind == "iban")))).otherwise(none)
     pieces = F.when(tried, F.split(text, PATTERNS[kind], -1)).otherwise(none)
     return matches, pieces
 
@@ -93,11 +105,12 @@ def _spans(kind: str, matches: str, pieces: str) -> Column:
     """Confirmed spans as structs of ``start``, ``end``, ``text`` and ``score``."""
     both = F.zip_with(F.col(matches), F.slice(F.col(pieces), 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,text:string,before:string>>")
+    taken = lambda x: F.lit(1) if kind == "iban" else F.length(x["m"])
     placed = F.aggregate(
         both,
         F.struct(F.lit(0).cast("long").alias("at"), empty.alias("done")),
         lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
+            (acc["at"] + F.length(x["p"]) + taken(x)).alias("at"),
             F.concat(
                 acc["done"],
                 F.array(
@@ -115,6 +128,8 @@ def _spans(kind: str, matches: str, pieces: str) -> Column:
     near = lambda words, s: F.when(s["before"].rlike(rf"\b(?:{words})"), 0.4).otherwise(0.0)
     score = lambda s: F.least(F.lit(1.0), F.greatest(F.lit(0.0), START[kind] + near(RAISE[kind], s) - near(LOWER[kind], s)))
     right = F.filter(placed, lambda s: _confirmed(kind, s["text"]))
+    if kind == "iban":  # the first of those that overlap
+        right = F.aggregate(right, empty, lambda acc, s: F.when(s["start"] >= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)), F.concat(acc, F.array(s))).otherwise(acc))
     scored = F.transform(right, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), score(s).alias("score")))
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= NEEDED)
 
