@@ -164,6 +164,19 @@ def test_bank_accounts_end_at_the_length_of_their_country(spark):
         assert [s.text for s in got] == want and [text[s.start : s.end] for s in got] == want, r
 
 
+def test_context_goes_past_other_matches_and_behind_the_span(spark):
+    far = "\U0001f600x " * 200
+    cases = [
+        ("SSN 111-22-3333, 222-33-4444", ["111-22-3333", "222-33-4444"]), ("111-22-3333 (SSN)", ["111-22-3333"]), ("111-22-3333 and 222-33-4444", []),
+        (f"ssn {far} 111-22-3333 {far} ssn", []), (f"{far} 111-22-3333 (ssn) {far}", ["111-22-3333"]), (f"{far[:757]} ssn 111-22-3333", ["111-22-3333"]),
+        ("serial 111-22-3333, ssn 222-33-4444", ["222-33-4444"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in personal.find_personal(df, "found").collect():
+        text, want = cases[r.doc_id]
+        assert [text[s.start : s.end] for s in r.found if s.kind == "ssn"] == want, r
+
+
 def test_pieces(docs, nothing):
     hard = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(20, "é▁x 日本 \U0001f600\n\t  end  "), (21, "a" * 3000)], "doc_id long, text string"))
     got = pieces.round_trip(hard).collect()
