@@ -280,6 +280,18 @@ def test_recurrent_gradients_and_score():
     assert np.allclose(both, [gru.score(trained, [t])[0] for t in (text[:7], text, text[:1])], atol=1e-3)
 
 
+def test_language_model_knows_most_tokens_of_a_large_vocabulary(spark):
+    random = np.random.default_rng(1)
+    lines = [" ".join(f"w{x}" for x in random.integers(0, 3000, 4) for _ in range(25)) for _ in range(800)]
+    held = " ".join(f"w{x}" for x in (2001, 2002, 2003, 2004) for _ in range(25))
+    shuffled = " ".join(random.permutation(held.split()))
+    assert scoring.vocabulary_size(np.full(3000, 27), 81000) == 2702
+    train = spark.createDataFrame(list(enumerate(lines * 4)), "doc_id long, text string").repartition(2)
+    docs = spark.createDataFrame([(1, held), (2, shuffled)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scoring.score_documents(docs, train).collect()}
+    assert math.isclose(got[1].base_score, got[2].base_score) and got[1].score > got[2].score + 5
+
+
 def test_embeddings(spark):
     random = np.random.default_rng(3)
     base = random.normal(size=(300, 16))

@@ -1,43 +1,61 @@
 """A small gated recurrent language model in numpy, with a class-factored softmax.
 
-Tokens are numbers below ``classes * width``; token t belongs to class t // width.
+Tokens are places in a list of words, frequent ones first. Its length is that of the
+counts a model starts from; a class is a stretch of it, wider towards the rare words.
 """
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 
-STATE = 16
-CLASSES, WIDTH = 16, 32
+STATE = 24
+#: Least number of tokens.
+SIZE = 512
 #: Steps through which gradients go back.
 WINDOW = 32
 #: Streams trained side by side.
 LANES = 512
 RATE = 0.01
-SIZE = CLASSES * WIDTH
+#: Bytes of the weights of one word.
+WORD_BYTES = 4 * (4 * STATE + 1)
+
+
+@lru_cache
+def borders(size: int) -> np.ndarray:
+    """Where the classes begin, and the end: about the square root of the number of tokens, in number and width."""
+    at = [0]
+    while at[-1] < size:
+        at.append(min(at[-1] + 16 + 4 * math.isqrt(at[-1]), size))
+    return np.array(at)
 
 
-def shapes(state: int = STATE) -> dict[str, tuple[int, ...]]:
-    return {"x": (SIZE + 1, 3 * state), "u": (state, 3 * state), "cw": (state, CLASSES), "cb": (CLASSES,), "ww": (CLASSES, state, WIDTH), "wb": (CLASSES, WIDTH)}
+def shapes(size: int, state: int = STATE) -> dict[str, tuple[int, ...]]:
+    classes = len(borders(size)) - 1
+    return {"x": (size + 1, 3 * state), "u": (state, 3 * state), "cw": (state, classes), "cb": (classes,), "ww": (size, state), "wb": (size,)}
 
 
 def initial(counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     """Small random weights; biases that give the plain frequencies of the tokens."""
     random = np.random.default_rng(seed)
-    made = {k: (random.normal(size=s) * 0.1).astype(np.float32) for k, s in shapes().items()}
-    share = (np.pad(counts, (0, SIZE - len(counts))) + 0.1).reshape(CLASSES, WIDTH)
-    made["cb"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
-    made["wb"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
+    size = len(counts)
+    made = {k: (random.standard_normal(s, np.float32) * np.float32(0.1)) for k, s in shapes(size).items()}
+    share, edges = counts + 0.1, borders(size)
+    total = np.add.reduceat(share, edges[:-1])
+    made["cb"] = np.log(total / total.sum()).astype(np.float32)
+    made["wb"] = np.log(share / np.repeat(total, np.diff(edges))).astype(np.float32)
     return made
 
 
 def pack(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].reshape(-1) for k in shapes()])
+    return np.concatenate([p[k].reshape(-1) for k in shapes(len(p["wb"]))])
 
 
-def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
+def unpack(flat: np.ndarray, size: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in shapes().items():
+    for k, s in shapes(size).items():
         out[k] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
         at += int(np.prod(s))
     return out
@@ -56,7 +74,9 @@ def step(p: dict, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 def output(p: dict, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target; with ``grads`` also the gradient of the states (of the summed loss)."""
     rows = np.arange(len(target))
-    group, member = target // WIDTH, target % WIDTH
+    begins = borders(len(p["wb"]))
+    group = np.searchsorted(begins, target, "right") - 1
+    member = target - begins[group]
     logit = states @ p["cw"] + p["cb"]
     logit -= logit.max(axis=1, keepdims=True)
     share = np.exp(logit)
@@ -70,13 +90,13 @@ def output(p: dict, states: np.ndarray, target: np.ndarray, grads: dict | None =
         grads["cb"] += share.sum(axis=0)
         back = share @ p["cw"].T
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[edges[c] : edges[c + 1]]
+    edges = np.searchsorted(group[order], np.arange(len(begins)))
+    for c in range(len(begins) - 1):
+        at, held = order[edges[c] : edges[c + 1]], slice(begins[c], begins[c + 1])
         if not len(at):
             continue
         own = states[at]
-        logit = own @ p["ww"][c] + p["wb"][c]
+        logit = own @ p["ww"][held].T + p["wb"][held]
         logit -= logit.max(axis=1, keepdims=True)
         share = np.exp(logit)
         total = share.sum(axis=1, keepdims=True)
@@ -85,9 +105,9 @@ def output(p: dict, states: np.ndarray, target: np.ndarray, grads: dict | None =
         if grads is not None:
             share /= total
             share[here, member[at]] -= 1
-            grads["ww"][c] += own.T @ share
-            grads["wb"][c] += share.sum(axis=0)
-            back[at] += share @ p["ww"][c].T
+            grads["ww"][held] += share.T @ own
+            grads["wb"][held] += share.sum(axis=0)
+            back[at] += share @ p["ww"][held]
     return found, back
 
 
@@ -100,9 +120,10 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES,
     length = -(-len(tokens) // lanes)
     target = np.pad(tokens, (0, lanes * length - len(tokens)), constant_values=-1).reshape(lanes, length).T
     fresh = np.pad(opens, (0, lanes * length - len(tokens))).reshape(lanes, length).T
-    before = np.vstack([np.full((1, lanes), SIZE), target[:-1]])
+    start = len(p["wb"])
+    before = np.vstack([np.full((1, lanes), start), target[:-1]])
     fresh[0] = True
-    before = np.where(fresh | (before < 0), SIZE, before)
+    before = np.where(fresh | (before < 0), start, before)
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     h, count = np.zeros((lanes, p["u"].shape[0]), np.float32), 0
     for low in range(0, length, window):
@@ -113,7 +134,7 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES,
             after, *parts = step(p, before[t], h)
             held.append((h, *parts))
             h = after
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
+        grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
         states = np.concatenate([*(x[0] for x in held[1:]), h]).reshape(len(held), *h.shape)
         for i, t in enumerate(steps[1:]):  # a state that was cleared was used before that
             cleared = fresh[t]
@@ -141,14 +162,25 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES,
         rows = before[steps.start : steps.stop].reshape(-1)
         order = np.argsort(rows, kind="stable")
         edges = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        grads["x"][rows[order][edges]] = np.add.reduceat(inputs.reshape(len(rows), -1)[order], edges)
+        grads["x"] = np.add.reduceat(inputs.reshape(len(rows), -1)[order], edges)
         count += 1
-        scale = 1.0 / max(real.sum(), 1)
+        scale = np.float32(1.0 / max(real.sum(), 1))
         for k, g in grads.items():
+            at = rows[order][edges] if k == "x" else slice(None)  # the words that were read
             g *= scale
-            first[k] += 0.1 * (g - first[k])
-            second[k] += 0.01 * (g * g - second[k])
-            p[k] -= rate * (first[k] / (1 - 0.9**count)) / (np.sqrt(second[k] / (1 - 0.99**count)) + 1e-6)
+            one, two = first[k][at], second[k][at]
+            one += np.float32(0.1) * (g - one)
+            g *= g
+            g -= two
+            g *= np.float32(0.01)
+            two += g
+            if k == "x":
+                first[k][at], second[k][at] = one, two
+            move = np.sqrt(two / np.float32(1 - 0.99**count))
+            move += np.float32(1e-6)
+            np.divide(one, move, out=move)
+            move *= np.float32(rate / (1 - 0.9**count))
+            p[k][at] -= move
     return p
 
 
@@ -159,11 +191,11 @@ def score(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     starts = np.cumsum(sizes[order]) - sizes[order]
     tokens = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int64)
     found, live = np.zeros(len(texts)), len(texts)
-    h, before = np.zeros((live, p["u"].shape[0]), np.float32), np.full(live, SIZE)
+    h, before = np.zeros((live, p["u"].shape[0]), np.float32), np.full(live, len(p["wb"]))
     sizes, at = sizes[order], 0
     while live:
         states, targets, owners = [], [], []
-        while live and sum(map(len, targets)) < 1 << 17:
+        while live and sum(map(len, targets)) < 1 << 15:
             live = int(np.searchsorted(-sizes, -at, "left"))
             if not live:
                 break

@@ -1,10 +1,10 @@
 """Language-model scores of whole documents.
 
 Word counts over all training documents give the vocabulary and the plain base
-score. A gated recurrent model predicts the most frequent words, the end and "any
-other word"; the other words keep their share of the counts. Tasks train on their
-own documents from the same weights; the weighted mean of their weights starts the
-next round.
+score. A gated recurrent model predicts the most frequent words, which cover most of
+the tokens and grow with the vocabulary, the end and "any other word"; the other
+words keep their share of the counts. Tasks train on their own documents from the
+same weights; the weighted mean of their weights starts the next round.
 """
 
 from __future__ import annotations
@@ -26,8 +26,12 @@ MOST_SENT = 1 << 20
 ROUNDS = 2
 #: Tokens that a task holds at once.
 HELD_TOKENS = 6_000_000
-#: Weights of this many groups of tasks reach the driver in a round.
-GROUPS = 16
+#: Part of the tokens whose words the model knows, and the bytes its weights may take.
+COVERED, MOST_WEIGHT_BYTES = 0.9, 80 << 20
+#: Tokens that a task trains on in a round, about; each task sends its weights once.
+PART_TOKENS = 3_000_000
+#: The weights are added up in pieces of this many numbers, spread over this many tasks.
+PIECE, GROUPS = 1 << 20, 16
 END = np.uint64(0x0123456789ABCDEF)
 OTHER, STOP = 0, 1
 
@@ -60,13 +64,19 @@ def _summed(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(words), pa.array(sums)], names=["word", "c"])
 
 
+def vocabulary_size(counts: np.ndarray, tokens: int) -> int:
+    """Tokens of a model that knows the words covering ``COVERED`` of all tokens, as far as its weights have room."""
+    covering = int(np.searchsorted(np.cumsum(-np.sort(-counts)), COVERED * tokens)) + 1
+    return max(min(covering + 2, MOST_WEIGHT_BYTES // gru.WORD_BYTES), gru.SIZE)
+
+
 class Lexicon:
     """Counts of the frequent words, sorted by hash, and the token of each."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, size: int = gru.SIZE) -> None:
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
-        self.token = np.full(len(words), OTHER, np.int16)
+        self.token = np.full(len(words), OTHER, np.int32)
         frequent = [i for i in np.lexsort((self.words, -self.counts))[: size - 1] if self.words[i] != END][: size - 2]
         self.token[frequent] = np.arange(2, 2 + len(frequent))
         self.token[self.words == END] = STOP
@@ -89,39 +99,48 @@ def learn(docs: DataFrame, lexicon: Lexicon, text: str, key: str, rounds: int =
     """Weights after one pass over all documents, in ``rounds`` parts."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(lexicon)
+    size = len(lexicon.token_counts)
+    parts = max(int(lexicon.counts.sum()) // (rounds * PART_TOKENS), 1)
     model = gru.initial(lexicon.token_counts)
     for turn in range(rounds):
         part = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(9)), F.lit(rounds)) == turn)
         sent = spark.sparkContext.broadcast(gru.pack(model))
 
         def run(batches):
-            known, weights = shared.value, gru.unpack(sent.value.copy())
-            held, size, total = [], 0, 0
+            known, before = shared.value, sent.value
+            weights, held, n, total = gru.unpack(before.copy(), size), [], 0, 0
             for batch in batches:
                 for small in slices(batch, text):
                     hashes, first, _ = _texts(small, text)
                     at, there = known.find(hashes)
-                    held += np.split(np.where(there, known.token[at] if len(known.token) else 0, OTHER).astype(np.int16), first[1:-1])
-                    size += len(hashes)
-                    if size >= HELD_TOKENS:
-                        weights, total, held, size = gru.train(weights, held), total + size, [], 0
+                    held += np.split(np.where(there, known.token[at] if len(known.token) else 0, OTHER).astype(np.int32), first[1:-1])
+                    n += len(hashes)
+                    if n >= HELD_TOKENS:
+                        weights, total, held, n = gru.train(weights, held), total + n, [], 0
             if held:
-                weights, total = gru.train(weights, held), total + size
+                weights, total = gru.train(weights, held), total + n
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([gru.pack(weights).tobytes()], pa.binary())], names=["n", "weights"])
+                moved = (gru.pack(weights) - before).astype(np.float16)
+                for i in range(0, len(moved), PIECE):
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total]), pa.array([moved[i : i + PIECE].tobytes()], pa.binary())], names=["at", "n", "moved"])
 
         def merge(batches):
-            n, total = 0, 0.0
+            sums = {}
             for batch in batches:
-                for count, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                    n, total = n + count, total + count * np.frombuffer(raw, np.float32).astype(np.float64)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
-
-        made = part.select(text).mapInArrow(run, "n long, weights binary").repartition(GROUPS).mapInArrow(merge, "n long, weights binary").collect()
-        tokens = sum(r["n"] for r in made)
-        if tokens:
-            model = gru.unpack(sum(np.frombuffer(r["weights"], np.float64) for r in made) / tokens)
+                for at, count, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                    n, total = sums.get(at, (0, np.float64(0)))
+                    sums[at] = n + count, total + count * np.frombuffer(raw, np.float16).astype(np.float64)
+            for at, (n, total) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["at", "moved"])
+
+        made = part.select(text).coalesce(parts).mapInArrow(run, "at long, n long, moved binary").repartition(GROUPS, "at").mapInArrow(merge, "at long, moved binary").toArrow()
+        flat = gru.pack(model)
+        for at, raw in zip(*(c.to_pylist() for c in made.columns)):
+            moved = np.frombuffer(raw, np.float32)
+            flat[at : at + len(moved)] += moved
+        model = gru.unpack(flat, size)
+        sent.destroy()
+    shared.destroy()
     return model
 
 
@@ -144,7 +163,8 @@ def score_documents(docs: DataFrame, train: DataFrame, key: str = "doc_id", text
         if sum(r["n"] for r in steps if r["p"] >= p) > MOST_SENT:
             least = 2 ** (p + 1)
     frequent = counts.where(F.col("c") >= least).toArrow()
-    lexicon = Lexicon(frequent.column("word").to_numpy().view(np.uint64), frequent.column("c").to_numpy())
+    sent = frequent.column("c").to_numpy()
+    lexicon = Lexicon(frequent.column("word").to_numpy().view(np.uint64), sent, vocabulary_size(sent, tokens))
     model = learn(train, lexicon, text, key, rounds)
     shared = spark.sparkContext.broadcast((lexicon, gru.pack(model)))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -152,13 +172,13 @@ def score_documents(docs: DataFrame, train: DataFrame, key: str = "doc_id", text
 
     def run(batches):
         known, flat = shared.value
-        weights = gru.unpack(flat)
+        weights = gru.unpack(flat, len(known.token_counts))
         held, ready, size = [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, first, n = _texts(part, "text")
                 at, there = known.find(hashes)
-                token = np.where(there, known.token[at] if len(known.token) else 0, OTHER).astype(np.int16)
+                token = np.where(there, known.token[at] if len(known.token) else 0, OTHER).astype(np.int32)
                 logs = np.where(there, known.logs[at] if len(known.logs) else 0.0, 0.0)
                 token[hashes == END] = STOP
                 sums = [np.add.reduceat(x, first[:-1]) for x in (there.astype(np.int64), (token == OTHER).astype(np.int64), logs, np.where(token == OTHER, logs, 0.0))]
