@@ -64,12 +64,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+def cut_lineage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written to the shared folder and read back.
 
     Later scans start from these files, so a lost executor never replays the
-    jobs before them, and the rows are computed once.
+    jobs before them, and the rows are computed once. ``options`` are those of the
+    Parquet writer.
     """
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
