@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrep.llm import decontaminate, embeddings, language, minhash, personal, pieces, quality, scoring, substrings, urls
+from textrep.llm import decontaminate, embeddings, language, minhash, personal, pieces, quality, scoring, substrings, tokens, urls
 from textrep.llm.frames import remainder
-from textrep.session import spread
+from textrep.session import spread, work_path
 from textrep.workload.tables import table
 
 
@@ -70,6 +70,17 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        model = file.read()
+    path = work_path(spark, "token-files")
+    tokens.write_tokens(texts(spark, folder), path, model)
+    found = tokens.read_tokens(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -142,6 +153,7 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_quality": op9_quality,
     "op10_embeddings": op10_embeddings,
+    "op11_token_files": op11_token_files,
 }
 ORACLE = {
     "op1_minhash": OP1_SQL,
