@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrep.llm import decontaminate, embeddings, language, minhash, personal, pieces, quality, scoring, substrings, tokens, urls
+from textrep.llm import codes, decontaminate, embeddings, language, minhash, personal, pieces, quality, scoring, substrings, tokens, urls
 from textrep.llm.frames import remainder
 from textrep.session import spread, work_path
 from textrep.workload.tables import table
@@ -81,6 +81,10 @@ def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(spread(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"), "vec_id"))
+
+
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
@@ -142,6 +146,25 @@ low AS (SELECT a, min(b) AS low FROM reach GROUP BY a), deg AS (SELECT a, count(
 SELECT vec_id, coalesce(n, 0) AS n_links, low AS component_id, vec_id = low AS kept
 FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id"""
 
+_NEAREST = """(SELECT pos, part, n, min(struct_pack(d := list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(part, entry)]), e := e)) AS best
+FROM d JOIN {0} USING (pos) GROUP BY pos, part, n)"""
+_ROUND = f"""a{{1}} AS MATERIALIZED (SELECT pos, part, n, best.e AS e FROM {_NEAREST.format("c{0}")}),
+m{{1}} AS (SELECT pos, e, list(x ORDER BY i) AS mean FROM (SELECT pos, e, i, CAST((sum(n * part[i]) - ((sum(n * part[i]) % sum(n)) + sum(n)) % sum(n)) // sum(n) AS BIGINT) AS x
+    FROM a{{1}} CROSS JOIN range(1, 1 + (SELECT max(len(part)) FROM d)) t(i) GROUP BY ALL) GROUP BY pos, e),
+c{{1}} AS MATERIALIZED (SELECT pos, e, coalesce(mean, entry) AS entry FROM c{{0}} LEFT JOIN m{{1}} USING (pos, e)),"""
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, pos, q[pos * (len(q) // 8) + 1:(pos + 1) * (len(q) // 8)] AS part FROM v CROSS JOIN range(8) t(pos)),
+d AS MATERIALIZED (SELECT pos, part, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY ALL),
+c0 AS MATERIALIZED (SELECT pos, e, part AS entry FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 16) JOIN p USING (vec_id)),
+{" ".join(_ROUND.format(i, i + 1) for i in range(6))}
+last AS MATERIALIZED (SELECT pos, part, best.e AS e, best.d AS d FROM {_NEAREST.format("c6")}),
+code AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM p JOIN last USING (pos, part) GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(array_to_string(flatten(list(entry ORDER BY pos, e)), ',')) FROM c6) AS codebooks_sha256
+FROM v JOIN code USING (vec_id)"""
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_language_model": op2_language_model,
@@ -154,6 +177,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_embeddings": op10_embeddings,
     "op11_token_files": op11_token_files,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLE = {
     "op1_minhash": OP1_SQL,
@@ -161,4 +185,5 @@ ORACLE = {
     "op7_url_filters": OP7_SQL,
     "op8_substring": OP8_SQL,
     "op10_embeddings": OP10_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
