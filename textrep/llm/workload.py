@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrep.llm import codes, decontaminate, embeddings, language, minhash, personal, pieces, quality, scoring, substrings, tokens, urls
+from textrep.llm import codes, conversations, decontaminate, embeddings, language, minhash, personal, pieces, quality, scoring, substrings, tokens, urls
 from textrep.llm.frames import remainder
 from textrep.session import spread, work_path
 from textrep.workload.tables import table
@@ -81,6 +81,10 @@ def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(spread(table(spark, folder, "conversations"), "conv_id")))
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.compress(spread(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"), "vec_id"))
 
@@ -146,6 +150,57 @@ low AS (SELECT a, min(b) AS low FROM reach GROUP BY a), deg AS (SELECT a, count(
 SELECT vec_id, coalesce(n, 0) AS n_links, low AS component_id, vec_id = low AS kept
 FROM embeddings JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id"""
 
+_CRC = """(xor(list_reduce([ascii(c) FOR c IN string_split({0}, '')]::BIGINT[], lambda x, c: list_reduce(range(8), lambda a, b:
+    CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(x, c)), 4294967295::BIGINT), 4294967295))"""
+
+
+def _way(state: str, cost: str, audit: str, given: str = "true") -> str:
+    return f"CASE WHEN {given} THEN struct_pack(c := {state}.c + {cost}, a := {state}.a || '{audit}') ELSE far END"
+
+
+_FAR = "struct_pack(c := 1000000000::BIGINT, a := '')"
+_OPENED = {
+    0: "s0", 1: "s1",
+    2: f"list_min([s2, {_way('s0', '3', 'I')}, {_way('s1', '3', 'I')}, {_way('s3', '3', 'I')}])",
+    3: f"list_min([s3, {_way('s2', '3', 'I')}, {_way('s0', '6', 'II')}, {_way('s1', '6', 'II')}])",
+}
+_STEPS = {
+    0: [_way("w0", "4", "D")],
+    1: [_way("w1", "4", "D"), _way("w0", "late", "K", "role = 0 AND NOT gone")],
+    2: [_way("w2", "4", "D"), *(x for w in ("w0", "w1", "w3") for x in (_way(w, "late", "K", "role = 1 AND NOT gone"), _way(w, "late + 3", "R", "NOT gone")))],
+    3: [_way("w3", "4", "D"), _way("w2", "late", "K", "role = 2 AND NOT gone"), _way("w2", "late + 3", "R", "NOT gone")],
+}
+OP12_SQL = rf"""
+WITH RECURSIVE hurt AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+said AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, copy,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM hurt CROSS JOIN range(2) t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place,
+    coalesce(list_position(['s', 'u', 'a'], role[1]) - 1, 3) AS role_number, right(rtrim(text, E' 	
+'), 1) AS last FROM said),
+seen AS MATERIALIZED (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+    WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, lag(role_number) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM placed),
+counts AS (SELECT conv_id, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+    count_if(before IS NOT NULL AND before * 4 + role_number NOT IN (1, 6, 9)) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) AS n FROM seen GROUP BY conv_id),
+steps AS MATERIALIZED (SELECT conv_id, place, role_number AS role, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS late FROM seen),
+ways AS (SELECT conv_id, 0::BIGINT AS place, struct_pack(c := 0::BIGINT, a := '') AS s0, {_FAR} AS s1, {_FAR} AS s2, {_FAR} AS s3 FROM counts
+    UNION ALL SELECT conv_id, place, {", ".join(f"list_min([{', '.join(_STEPS[i])}])" for i in range(4))}
+    FROM (SELECT steps.conv_id, steps.place, steps.role, gone, late, far, {", ".join(f"{_OPENED[i]} AS w{i}" for i in range(4))}
+          FROM (SELECT *, {_FAR} AS far FROM ways) w JOIN steps ON steps.conv_id IS NOT DISTINCT FROM w.conv_id AND steps.place = w.place + 1)),
+best AS (SELECT w.conv_id, list_min([s0, {_OPENED[3]}]) AS way, {", ".join(c for c in ("blank", "duplicate", "truncated", "illegal", "gaps"))}
+    FROM (SELECT *, {_FAR} AS far FROM ways) w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.place),
+edits AS (SELECT conv_id, i, way.a[i] AS edit, CAST(length(replace(way.a[1:i], 'I', '')) AS BIGINT) AS place FROM (SELECT conv_id, way, unnest(range(1, length(way.a) + 1)) AS i FROM best)),
+lines AS (SELECT e.conv_id, i, edit, s.role, CASE WHEN edit = 'I' THEN '' ELSE s.text END AS text,
+    row_number() OVER (PARTITION BY e.conv_id ORDER BY i) - 1 AS out, first_value(edit = 'K' AND s.role_number = 0) OVER (PARTITION BY e.conv_id ORDER BY i) AS led
+    FROM edits e LEFT JOIN seen s ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND s.place = e.place AND edit <> 'I' WHERE edit <> 'D'),
+fixed AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (out - CASE WHEN led THEN 1 ELSE 0 END) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS text
+    FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(way.c, 0) AS cost, coalesce(way.a, '') AS audit, sha256(coalesce(fixed.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 _NEAREST = """(SELECT pos, part, n, min(struct_pack(d := list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(part, entry)]), e := e)) AS best
 FROM d JOIN {0} USING (pos) GROUP BY pos, part, n)"""
 _ROUND = f"""a{{1}} AS MATERIALIZED (SELECT pos, part, n, best.e AS e FROM {_NEAREST.format("c{0}")}),
@@ -177,6 +232,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_embeddings": op10_embeddings,
     "op11_token_files": op11_token_files,
+    "op12_conversations": op12_conversations,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLE = {
@@ -185,5 +241,6 @@ ORACLE = {
     "op7_url_filters": OP7_SQL,
     "op8_substring": OP8_SQL,
     "op10_embeddings": OP10_SQL,
+    "op12_conversations": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }
