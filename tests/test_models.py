@@ -149,19 +149,74 @@ def test_trained_vectors(spark):
         w2v.train(df, min_count=10_000)
 
 
-def test_glove_loss_falls(spark):
+@pytest.fixture(scope="module")
+def letters(spark):
     from textrep.operators import vocab
 
     rng = np.random.default_rng(2)
     texts = [(i, rng.choice(list("abcdefghijkl"), size=30).tolist()) for i in range(80)]
     df = spark.createDataFrame(texts, "row_id long, tokens array<string>")
-    top = vocab.ranked_vocabulary(vocab.token_counts(df, "tokens"), 50, 1)
-    cells = vocab.cooccurrence(vocab.token_ids(df, "tokens", top), 3)
-    model = glove.train(cells, 12, size=4, epochs=6)
-    assert all(b <= a * 1.001 for a, b in zip(model.losses, model.losses[1:])) and model.losses[-1] < model.losses[0]
+    top = vocab.ranked_vocabulary(vocab.token_counts(df, "tokens"), 50, 1).persist()
+    return top, vocab.cooccurrence(vocab.token_ids(df, "tokens", top), 3).persist()
+
+
+def plain_glove(spark, cells, words, size, epochs, subspace):
+    """The sweeps on whole matrices, word after word; ``subspace`` entries are solved exactly, given the others."""
+    counts = np.zeros((words, words))
+    for r in cells.collect():
+        counts[r.row_id, r.col_id] = r.value
+    sides = []
+    for seed in (42, 43):
+        rows = sorted(glove.first_side(spark, words, size, seed).collect())
+        sides.append(np.array([[*r.vector, 0.0] for r in rows]))
+    penalty, losses = np.diag([*[glove.RIDGE] * size, glove.BIAS_RIDGE]), []
+    for _ in range(epochs):
+        for s in (0, 1):
+            loss = 0.0
+            for i in range(words):
+                js = np.flatnonzero(counts[i])
+                if not len(js):
+                    continue
+                design = np.column_stack([sides[1 - s][js, :-1], np.ones(len(js))])
+                weights, targets = np.minimum((counts[i, js] / 100) ** 0.75, 1), np.log(counts[i, js]) - sides[1 - s][js, -1]
+                x = sides[s][i]
+                for low in range(0, size + 1, subspace):
+                    some = np.arange(low, min(low + subspace, size + 1))
+                    rest = targets - np.delete(design, some, 1) @ np.delete(x, some)
+                    x[some] = np.linalg.solve((design[:, some].T * weights) @ design[:, some] + penalty[np.ix_(some, some)], (design[:, some].T * weights) @ rest)
+                loss += float(weights @ (design @ x - targets) ** 2)
+        losses.append(loss / int((counts > 0).sum()))
+    return sides[0][:, :-1] + sides[1][:, :-1], losses
+
+
+@pytest.mark.parametrize("subspace, options", [
+    (5, {"parts": 1}), (5, {"parts": 7}), (2, {}), (5, {"group": 5, "parts": 3}), (5, {"group": 1, "parts": 2}),
+])
+def test_glove_equals_sweeps_on_whole_matrices(spark, letters, subspace, options):
+    top, cells = letters
+    model = glove.train(cells, 14, size=4, epochs=4, tolerance=-1, subspace=subspace, **options)
+    vectors, losses = plain_glove(spark, cells, 14, 4, 4, subspace)
+    assert model.losses == pytest.approx(losses, rel=1e-6)
+    got = {r.id: r.vector for r in model.vectors.collect()}
+    assert np.array([got[i] for i in range(14)]) == pytest.approx(vectors, abs=1e-5)
+
+
+def test_glove_loss_falls_until_it_hardly_does(spark, letters):
+    top, cells = letters
+    model = glove.train(cells, 12, size=4, tolerance=0.05)
+    assert all(b <= a * 1.001 for a, b in zip(model.losses, model.losses[1:])) and 1 < len(model.losses) < glove.EPOCHS
     assert {r.token for r in glove.word_vectors(model, top).collect()} == set("abcdefghijkl")
     with pytest.raises(ValueError):
-        glove.train(cells, 10**9, size=300)
+        glove.train(cells.limit(0), 12, size=4)
+
+
+def test_glove_normal_equations_with_more_cells_than_entries(spark):
+    """Rows of many cells are sent as sums of products, short ones as they are."""
+    rng = np.random.default_rng(8)
+    rows = [(i, j, float(rng.integers(1, 9))) for i in range(30) for j in range(30) if i < 3 or j < 3]
+    cells = spark.createDataFrame(rows, "row_id int, col_id int, value double")
+    split = glove.train(cells, 31, size=3, epochs=3, tolerance=-1, group=8, parts=2)
+    assert split.losses == pytest.approx(plain_glove(spark, cells, 31, 3, 3, 4)[1], rel=1e-6)
 
 
 def test_user_model_plugs_in(spark):

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -64,6 +65,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def even_keys(spark: SparkSession, count: int) -> list[int]:
+    """``count`` numbers that a shuffle on an int column deals evenly to its partitions.
+
+    Numbers in a row meet by chance in some partitions and leave others empty.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted, tried, of = -(-count // partitions), 0, {}
+    while sum(min(len(keys), wanted) for keys in of.values()) < min(count, partitions * wanted):
+        some = spark.range(tried, tried + 8 * max(count, partitions)).select(F.col("id").cast("int").alias("id"))
+        for row in some.select("id", F.pmod(F.hash("id"), F.lit(partitions)).alias("to")).collect():
+            of.setdefault(row["to"], []).append(row["id"])
+        tried += 8 * max(count, partitions)
+    return [key for _, _, key in sorted((turn, to, key) for to, keys in of.items() for turn, key in enumerate(keys[:wanted]))[:count]]
+
+
 def cut_lineage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written to the shared folder and read back.
 
