@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -149,6 +150,29 @@ def test_trained_vectors(spark):
         w2v.train(df, min_count=10_000)
 
 
+def test_frequent_words_are_thinned_by_their_counts(spark):
+    rng = np.random.default_rng(9)
+    texts = [(i, " ".join(rng.choice(["the", "of", *[f"w{j}" for j in range(400)]], 50, p=[0.3, 0.1, *[0.6 / 400] * 400]))) for i in range(300)] + [(900, ""), (901, None)]
+    df = spark.createDataFrame(texts, "row_id long, cleaned_text string")
+    count = Counter(w for _, t in texts for w in (t or "").split())
+    threshold = 0.01 * sum(c for c in count.values() if c >= 5)
+    chance = {w: (np.sqrt(c / threshold) + 1) * threshold / c for w, c in count.items()}
+    want = {i: [w for p, w in enumerate((t or "").split()) if count[w] < 5 or chance[w] >= 1 or w2v.draw(i, p, 42) < chance[w]] for i, t in texts}
+    for parts in (1, 5):
+        got = {r.row_id: r.tokens for r in w2v.training_tokens(df.repartition(parts), sample=0.01).collect()}
+        assert {k: v or [] for k, v in got.items()} == want
+    share = sum(v.count("the") for v in want.values()) / count["the"]
+    assert share == pytest.approx(chance["the"], abs=0.03) and share < 0.3
+    assert w2v.training_tokens(df, sample=None).agg(F.sum(F.size("tokens"))).first()[0] == sum(count.values())
+
+
+def test_thinning_keeps_the_vocabulary(spark):
+    """Five occurrences of a word that is frequent in a tiny table all stay."""
+    df = spark.createDataFrame([(i, "a b c") for i in range(5)], "row_id long, cleaned_text string")
+    assert sum((r.tokens for r in w2v.training_tokens(df, sample=1e-3).collect()), []).count("a") == 5
+    assert (w2v.parts_for(0), w2v.parts_for(1), w2v.parts_for(1_000_001)) == (1, 1, 3)
+
+
 @pytest.fixture(scope="module")
 def letters(spark):
     from textrep.operators import vocab
