@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from textrep.functions.text import MIN_LENGTH, first_tokens, long_enough
-from textrep.operators.dedup import first_of_each, key_columns, unseen
+from textrep.operators import keyindex
+from textrep.operators.dedup import first_of_each, key_columns
 from textrep.operators.preprocess import drop_counts, evaluated_once
 from textrep.schema import CLEANED_SCHEMA, DEDUP_KEYS, RAW_SCHEMA
 from textrep.session import cut_lineage
@@ -60,6 +61,17 @@ def running_statistics(raw: DataFrame, min_length: int = MIN_LENGTH) -> DataFram
     )
 
 
+def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the table ``path`` at the counts of all that has arrived, and stop."""
+    spark = counts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has arrived and stop; a restart goes on where it ended."""
     spark = df.sparkSession
@@ -71,12 +83,15 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def load_reviews(
-    spark: SparkSession, folder: str, path: str, checkpoint: str, min_length: int = MIN_LENGTH, files_per_batch: int | None = None
+    spark: SparkSession, folder: str, path: str, checkpoint: str, min_length: int = MIN_LENGTH, files_per_batch: int | None = None,
+    buckets: int = keyindex.BUCKETS,
 ) -> StreamingQuery:
     """Append the first copy of every new review to the table ``path`` and stop.
 
     Of the copies in a batch the first in (file, line) order stays, and none of
-    a review that an earlier batch has loaded. State is the table itself. Every
+    a review that an earlier batch has loaded. The keys of the table are in
+    ``<path>.index``, of which a batch reads the filters and the buckets they point to; an
+    index that is missing is made from the table. Every
     batch has a folder of its own, which a repeated batch replaces; its raw,
     short, duplicate and kept rows per category are in ``<path>.counts``.
     """
@@ -86,9 +101,11 @@ def load_reviews(
         placed = batch.withColumn("row_id", F.monotonically_increasing_id())
         cleaned = cut_lineage(evaluated_once(normalize(placed), "cleaned_text"), "arrived")
         kept = cleaned.filter(long_enough("cleaned_text", min_length))
-        new = first_of_each(kept, list(POSITION))
-        if number:
-            new = unseen(new, session.read.parquet(path).filter(F.col("batch") < number))
+        index = f"{path}.index"
+        if number and not keyindex.has_index(session, index):
+            loaded = session.read.parquet(path).filter(F.col("batch") < number)
+            keyindex.add(loaded.select(keyindex.digest(loaded).alias("digest")), index, -1, buckets)
+        new, _ = keyindex.load(first_of_each(kept, list(POSITION)), index, number, buckets=buckets)
         new.select(*CLEANED_SCHEMA.names).write.mode("overwrite").parquet(f"{path}/batch={number}")
         loaded = session.read.parquet(f"{path}/batch={number}")
         drop_counts(cleaned, loaded, min_length).write.mode("overwrite").json(f"{path}.counts/batch={number}")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrep.functions import text as tx
 from textrep.functions.formats import category_of_file
-from textrep.operators import sampling, stats, vocab
+from textrep.operators import keyindex, sampling, stats, vocab
 from textrep.operators.clustering import distinct_labels
-from textrep.operators.dedup import first_unseen
+from textrep.operators.dedup import first_of_each, first_unseen
 from textrep.operators.preprocess import clean_reviews, clean_reviews_legacy, preprocess_statistics
 from textrep.sources.reviews import normalize, read_reviews
 from textrep.session import work_path
@@ -110,6 +113,21 @@ def incremental_dedup(spark, folder):
     return first_unseen(new, old, ["doc_id"], keys).select("doc_id")
 
 
+@query("""SELECT batch, count(*) AS arrived, count(*) FILTER (copy = 1) AS kept, max(doc_id) FILTER (copy = 1) AS last
+FROM (SELECT doc_id, doc_id % 4 AS batch, row_number() OVER (PARTITION BY source, text ORDER BY doc_id % 4, doc_id) AS copy FROM documents) GROUP BY 1""")
+def indexed_dedup(spark, folder):
+    """Four batches loaded one after the other through the index of keys, the last one twice."""
+    docs, path, keys = table(spark, folder, "documents").select("doc_id", "source", "text"), work_path(spark, "index"), ("source", "text")
+    loaded = []
+    for batch in (0, 1, 2, 3, 3):
+        arrived = docs.filter(F.pmod("doc_id", F.lit(4)) == batch)
+        new, _ = keyindex.load(first_of_each(arrived, ["doc_id"], keys), path, batch, keys)
+        loaded.append(arrived.select("doc_id", F.lit(False).alias("new")).union(new.select("doc_id", F.lit(True).alias("new"))))
+    rows = reduce(DataFrame.union, loaded[:3] + loaded[4:]).withColumn("batch", F.pmod("doc_id", F.lit(4)))
+    return rows.groupBy("batch").agg(
+        F.count_if(~F.col("new")).alias("arrived"), F.count_if(F.col("new")).alias("kept"), F.max(F.when(F.col("new"), F.col("doc_id"))).alias("last"))
+
+
 @query("SELECT lang AS category, count(*) AS n FROM documents GROUP BY 1")
 def eda_category(spark, folder):
     return stats.category_counts(raw_reviews(spark, folder))

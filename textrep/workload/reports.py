@@ -373,12 +373,11 @@ def stream_preprocess(spark, folder):
 FROM cleaned GROUP BY 1""")
 def stream_statistics(spark, folder):
     """Running counts per source after every file was seen."""
-    source, name = work_path(spark, "stream-in"), f"stats_{abs(hash(work_path(spark, 's')))}"
+    source, out, state = (work_path(spark, n) for n in ("stream-in", "stream-counts", "stream-state"))
     raw_reviews(spark, folder).select("rating", "text", F.col("user_id").alias("category")).repartition(4).write.json(source)
     lines = spark.readStream.schema("rating string, text string, category string").option("maxFilesPerTrigger", 1).json(source)
-    running = stream.running_statistics(lines).writeStream.outputMode("complete").format("memory").queryName(name)
-    running.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    stream.write_counts(stream.running_statistics(lines), out, state).awaitTermination()
+    return spark.read.parquet(out)
 
 
 @query(f"""WITH {RAW_SQL} SELECT count(*) AS rows, 2::BIGINT AS runs, count(*) FILTER (category <> 'en') AS second_run FROM raw""")
