@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textrep.operators import anomaly, classification, clustering, clustermetrics, histogram, knn, probe, projection, report, retrieval
 from textrep.operators.encoders import batch, glove, mean, tfidf, w2v
+from textrep.operators.sampling import uniform_sample
 from textrep.sources import store
 from textrep.streaming import reviews as stream
 
@@ -258,7 +259,41 @@ def test_kmeans_finds_separate_groups(spark):
     assigned, scores = clustering.evaluate_clustering(df, "label")
     assert assigned.count() == 400 and scores.first().n_clusters == 4
     found = clustering.mini_batch_kmeans(df, 4, ("row_id", "label"), batch_rows=100, passes=2)
-    assert found.count() == 400 and found.select("cluster").distinct().count() >= 2
+    pairs = found.groupBy("cluster", "label").count().collect()
+    assert len(pairs) == 4 and {r["count"] for r in pairs} == {100}
+
+
+def test_mini_batches_equal_numpy_on_the_same_draws(spark):
+    df, data = points(spark, 300)
+    k, seed, rounds = 5, 11, 3
+    rows = df.select("row_id", F.col("embedding").alias("_v"), *[clustering.draw("row_id", seed, s).alias(f"u{s}") for s in range(5)],
+                     F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(rounds)).alias("batch")).orderBy("row_id").collect()
+    first = uniform_sample(df, 1, "row_id", seed).first().row_id
+    centres = data[[first]]
+    for step in range(5):
+        far = ((data[:, None] - centres[None]) ** 2).sum(-1).min(axis=1)
+        picked = [i for i, r in enumerate(rows) if r[f"u{step}"] < 2 * k * far[i] / far.sum()]
+        centres = np.unique(np.concatenate([centres, data[picked]]), axis=0)
+    own = ((data[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+    centres = clustering.choose(centres, np.bincount(own, minlength=len(centres)).astype(float), k, seed)
+    assert clustering.spread_centres(df.withColumn("_v", F.col("embedding")), k, "row_id", seed) == pytest.approx(centres)
+    weight, centres = np.zeros(k), centres.copy()
+    for number in range(rounds):
+        some = data[[r.batch == number for r in rows]]
+        own = ((some[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+        for c in set(own):
+            weight[c] += (own == c).sum()
+            centres[c] += (some[own == c].mean(axis=0) - centres[c]) * (own == c).sum() / weight[c]
+    want = ((data[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+    for parts in (1, 4):
+        got = clustering.mini_batch_kmeans(df.repartition(parts), k, batch_rows=10, seed=seed, rounds=rounds).orderBy("row_id").collect()
+        assert [r.cluster for r in got] == want.tolist()
+
+
+def test_mini_batches_of_copies_and_of_nothing(spark):
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0]) for i in range(50)], "row_id long, embedding array<double>")
+    assert clustering.mini_batch_kmeans(df, 4).select("cluster").distinct().count() == 2
+    assert clustering.mini_batch_kmeans(df.limit(0), 4).count() == 0
 
 
 def test_forest_finds_the_far_point_on_any_partitioning(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textrep.operators import anomaly, clustering, probe, projection
@@ -22,7 +23,21 @@ def kmeans(spark, folder):
 
 @query
 def mini_batch_kmeans(spark, folder):
-    return clustering.mini_batch_kmeans(vectors(spark, folder), 10, ("row_id", "label"), batch_rows=256)
+    return clustering.mini_batch_kmeans(vectors(spark, folder), 10, ("row_id", "label"))
+
+
+def nearest_centres(spark, folder):
+    """Every vector with the nearest of ten of them."""
+    rows = vectors(spark, folder)
+    first = rows.orderBy("row_id").limit(10).collect()
+    found = clustering.assign(rows, np.array([r.embedding for r in first]))
+    return found.select("row_id", "cluster", F.round("far", 6).alias("far"))
+
+
+QUERIES["nearest_centres"] = nearest_centres
+ORACLE["nearest_centres"] = f"""WITH {VECTORS_SQL}, centres AS (SELECT row_number() OVER (ORDER BY row_id) - 1 AS number, embedding AS c FROM (SELECT * FROM vec ORDER BY row_id LIMIT 10)),
+far AS (SELECT row_id, number, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(embedding, c)]) AS far FROM vec CROSS JOIN centres)
+SELECT row_id, CAST(arg_min(number, far) AS INTEGER) AS cluster, round(min(far), 6) AS far FROM far GROUP BY row_id"""
 
 
 @query
