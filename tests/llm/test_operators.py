@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -285,7 +288,7 @@ def test_language_model_knows_most_tokens_of_a_large_vocabulary(spark):
     lines = [" ".join(f"w{x}" for x in random.integers(0, 3000, 4) for _ in range(25)) for _ in range(800)]
     held = " ".join(f"w{x}" for x in (2001, 2002, 2003, 2004) for _ in range(25))
     shuffled = " ".join(random.permutation(held.split()))
-    assert scoring.vocabulary_size(np.full(3000, 27), 81000) == 2702
+    assert [scoring.vocabulary_size(n) for n in (0, 3000, 10**6)] == [gru.SIZE, 3002, scoring.TOKENS]
     train = spark.createDataFrame(list(enumerate(lines * 4)), "doc_id long, text string").repartition(2)
     docs = spark.createDataFrame([(1, held), (2, shuffled)], "doc_id long, text string")
     got = {r.doc_id: r for r in scoring.score_documents(docs, train).collect()}
@@ -311,6 +314,38 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_widths(spark):
+    rows = [(i, [1.0, 2.0 + i / 100]) for i in range(4)] + [(10 + i, [float(i == j) for j in range(5)]) for i in range(3)] + [(20, [1.0, 0.0, 0.0, 0.0, 0.01]), (30, [1.0, 2.0, 3.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 10: (1, 10), 11: (0, 11), 12: (0, 12), 20: (1, 10), 30: (0, 30)}
+
+
+def test_near_dedup_stage_keeps_texts_that_share_an_id(spark, folder):
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    other = " ".join(f"other{i}" for i in range(30))
+    rows = [(1, BASE), (5, BASE + " end"), (5, other), (7, other + " more"), (None, BASE), (None, BASE), (8, ""), (8, ""), (9, None), (9, None), (10, "")]
+    df = spark.createDataFrame([(i, t, "en", "k", 0.5) for i, t in rows], SCHEMA)
+    got = stage(spark, df, folder)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, BASE), (5, other), (None, BASE), (None, BASE), (8, ""), (9, None), (10, "")])
+    assert stage(spark, df.limit(0), folder).count() == 0
+
+
+def test_tasks_need_no_installed_package(tmp_path):
+    """Every query runs where only the driver can import the package."""
+    repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    code = (
+        "import importlib.util as u, sys\n"
+        f"s = u.spec_from_file_location('e', {repo + '/__spark_entry__.py'!r}); m = u.module_from_spec(s); s.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[4]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+        "names = [n for n in m.queries() if n.startswith('op') and n[2].isdigit()] + ['pipeline']\n"
+        "for n in names: print(n, m.queries()[n](spark, '/root/testdata/sf0.001').count(), flush=True)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=900)
+    assert len(done.stdout.splitlines()) == 14, done.stderr[-3000:]
+
+
 def test_pipeline_stages(spark, docs, folder):
     bench = dict((name, f) for name, f in corpus_pipeline.STAGES)
     clean = docs.where("doc_id <> 12 OR doc_id IS NULL")

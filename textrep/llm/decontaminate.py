@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textrep.llm.frames import annotate, digest, free_name, struct_of
+from textrep.llm.frames import annotate, digest, free_name, ship, shipped, struct_of
 from textrep.llm.words import NOT_ALNUM, Words, split_words, window_starts
 from textrep.session import cut_lineage
 
@@ -172,10 +172,10 @@ def _scan(df: DataFrame, text: str, into: str, items: pa.Table, window: int, kee
     rank = {name: i for i, name in enumerate(names)}
     item = np.array([rank[name] for name in items.column(0).to_pylist()], np.int64)
     texts = items.column(1).combine_chunks() if items.num_rows else pa.array([], pa.string())
-    tables = df.sparkSession.sparkContext.broadcast((benchmark_patterns(texts, item, window), names))
+    tables = ship(df, (benchmark_patterns(texts, item, window), names))
 
     def start():
-        found, named = tables.value
+        found, named = shipped(tables)
         return lambda part: search(split_words(part.column(text), NOT_ALNUM, lower=True), found, named)
 
     return annotate(df, text, into, FOUND, start, keep)

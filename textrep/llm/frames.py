@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,18 @@ def annotate(
     return df.mapInArrow(run, T.StructType(fields))
 
 
+def ship(df: DataFrame, value) -> Broadcast:
+    """``value`` for all tasks, objects of this package included: it travels with its code, as task functions do."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(sent: Broadcast):
+    """The value of ``ship``, made once in a process."""
+    if not hasattr(sent, "made"):
+        sent.made = cloudpickle.loads(sent.value)
+    return sent.made
+
+
 def struct_of(**columns: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
 

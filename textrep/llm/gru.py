@@ -7,7 +7,6 @@ counts a model starts from; a class is a stretch of it, wider towards the rare w
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 
@@ -19,17 +18,20 @@ WINDOW = 32
 #: Streams trained side by side.
 LANES = 512
 RATE = 0.01
-#: Bytes of the weights of one word.
-WORD_BYTES = 4 * (4 * STATE + 1)
 
 
-@lru_cache
+_borders: dict[int, np.ndarray] = {}
+
+
 def borders(size: int) -> np.ndarray:
     """Where the classes begin, and the end: about the square root of the number of tokens, in number and width."""
+    if size in _borders:
+        return _borders[size]
     at = [0]
     while at[-1] < size:
         at.append(min(at[-1] + 16 + 4 * math.isqrt(at[-1]), size))
-    return np.array(at)
+    _borders[size] = np.array(at)
+    return _borders[size]
 
 
 def shapes(size: int, state: int = STATE) -> dict[str, tuple[int, ...]]:

@@ -9,7 +9,6 @@ filter's fill leads one to expect, decides.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textrep.llm.frames import annotate, struct_of
+from textrep.llm.frames import annotate, ship, shipped, struct_of
 from textrep.llm.words import mix, slices, text_bounds
 
 #: An n-gram is in a language's set at this share of the language's n-grams at least, so a set has 50,000 at most.
@@ -33,10 +32,14 @@ LANGUAGE = T.StructType([T.StructField("lang", T.StringType()), T.StructField("s
 COUNTED = "lang string, gram long, n long"
 
 
-@cache
+_known_letters: list[np.ndarray] = []
+
+
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    if not _known_letters:
+        _known_letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _known_letters[0]
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,10 +174,10 @@ def language(df: DataFrame, filters: Filters, into: str, text: str = "text", kee
     nothing was learned is ``und`` with score 0; equal scores go to the first
     name in order.
     """
-    sent = df.sparkSession.sparkContext.broadcast(filters)
+    sent = ship(df, filters)
 
     def start():
-        known = sent.value
+        known = shipped(sent)
         return lambda part: identify(part.column(text), known)
 
     return annotate(df, text, into, LANGUAGE, start, keep)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textrep.llm.frames import annotate
+from textrep.llm.frames import annotate, ship, shipped
 from textrep.llm.words import Words, mix, slices, text_bounds
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -205,10 +205,10 @@ def encode(
     the text, not on the partition, so rows with equal keys and texts get equal
     pieces. A null or empty text has no pieces.
     """
-    sent = df.sparkSession.sparkContext.broadcast(load(model, sharpness))
+    sent = ship(df, load(model, sharpness))
 
     def start():
-        vocabulary = sent.value
+        vocabulary = shipped(sent)
 
         def work(part: pa.RecordBatch) -> pa.Array:
             found = []
@@ -225,13 +225,13 @@ def encode(
 
 def decode(df: DataFrame, ids: str, into: str, model: str = MODEL) -> DataFrame:
     """``df`` with the text of the piece ids; null ids give null, none give an empty text."""
-    sent = df.sparkSession.sparkContext.broadcast(load(model))
+    sent = ship(df, load(model).pieces)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType())])
 
     def run(batches):
-        sizes = np.array([len(p) for p in sent.value.pieces], np.int64)
+        sizes = np.array([len(p) for p in shipped(sent)], np.int64)
         places = np.cumsum(sizes) - sizes
-        table = np.frombuffer(b"".join(sent.value.pieces), np.uint8)
+        table = np.frombuffer(b"".join(shipped(sent)), np.uint8)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textrep.llm.frames import annotate, sent, struct_of
+from textrep.llm.frames import annotate, sent, ship, shipped, struct_of
 from textrep.llm.words import BLANKS, NOT_ALNUM, mix, slices, split_words, window_hashes, window_starts
 
 #: N-grams share this many places.
@@ -185,10 +185,10 @@ def learn(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 def quality(df: DataFrame, model: Model, into: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` with a struct ``into`` of ``score``, the probability of label 1; a null text scores like an empty one."""
-    known = df.sparkSession.sparkContext.broadcast(model)
+    known = ship(df, model)
 
     def start():
-        found = known.value
+        found = shipped(known)
         return lambda part: struct_of(score=pa.array(found.score(*indicators(part.column(text)))))
 
     return annotate(df, text, into, SCORE, start, keep)

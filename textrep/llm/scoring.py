@@ -1,9 +1,8 @@
 """Language-model scores of whole documents.
 
 Word counts over all training documents give the vocabulary and the plain base
-score. A gated recurrent model predicts the most frequent words, which cover most of
-the tokens and grow with the vocabulary, the end and "any other word"; the other
-words keep their share of the counts. Tasks train on their own documents from the
+score. A gated recurrent model predicts the ``TOKENS`` most frequent words, the end
+and "any other word"; the other words keep their share of the counts. Tasks train on their own documents from the
 same weights; the weighted mean of their weights starts the next round.
 """
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrep.llm import gru
+from textrep.llm.frames import ship, shipped
 from textrep.llm.words import BLANKS, slices, split_words
 from textrep.session import cut_lineage
 
@@ -26,8 +26,8 @@ MOST_SENT = 1 << 20
 ROUNDS = 2
 #: Tokens that a task holds at once.
 HELD_TOKENS = 6_000_000
-#: Part of the tokens whose words the model knows, and the bytes its weights may take.
-COVERED, MOST_WEIGHT_BYTES = 0.9, 80 << 20
+#: Tokens that the model knows one by one, at most; the same for tables of any size.
+TOKENS = 1 << 15
 #: Tokens that a task trains on in a round, about; each task sends its weights once.
 PART_TOKENS = 3_000_000
 #: The weights are added up in pieces of this many numbers, spread over this many tasks.
@@ -64,10 +64,9 @@ def _summed(held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_signed(words), pa.array(sums)], names=["word", "c"])
 
 
-def vocabulary_size(counts: np.ndarray, tokens: int) -> int:
-    """Tokens of a model that knows the words covering ``COVERED`` of all tokens, as far as its weights have room."""
-    covering = int(np.searchsorted(np.cumsum(-np.sort(-counts)), COVERED * tokens)) + 1
-    return max(min(covering + 2, MOST_WEIGHT_BYTES // gru.WORD_BYTES), gru.SIZE)
+def vocabulary_size(words: int) -> int:
+    """Tokens of a model of a table with so many distinct words."""
+    return max(min(words + 2, TOKENS), gru.SIZE)
 
 
 class Lexicon:
@@ -98,7 +97,7 @@ def _texts(part: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np.
 def learn(docs: DataFrame, lexicon: Lexicon, text: str, key: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights after one pass over all documents, in ``rounds`` parts."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(lexicon)
+    shared = ship(docs, lexicon)
     size = len(lexicon.token_counts)
     parts = max(int(lexicon.counts.sum()) // (rounds * PART_TOKENS), 1)
     model = gru.initial(lexicon.token_counts)
@@ -107,7 +106,7 @@ def learn(docs: DataFrame, lexicon: Lexicon, text: str, key: str, rounds: int =
         sent = spark.sparkContext.broadcast(gru.pack(model))
 
         def run(batches):
-            known, before = shared.value, sent.value
+            known, before = shipped(shared), sent.value
             weights, held, n, total = gru.unpack(before.copy(), size), [], 0, 0
             for batch in batches:
                 for small in slices(batch, text):
@@ -164,15 +163,15 @@ def score_documents(docs: DataFrame, train: DataFrame, key: str = "doc_id", text
             least = 2 ** (p + 1)
     frequent = counts.where(F.col("c") >= least).toArrow()
     sent = frequent.column("c").to_numpy()
-    lexicon = Lexicon(frequent.column("word").to_numpy().view(np.uint64), sent, vocabulary_size(sent, tokens))
+    lexicon = Lexicon(frequent.column("word").to_numpy().view(np.uint64), sent, vocabulary_size(size))
     model = learn(train, lexicon, text, key, rounds)
-    shared = spark.sparkContext.broadcast((lexicon, gru.pack(model)))
+    shared, flat_model = ship(docs, lexicon), spark.sparkContext.broadcast(gru.pack(model))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("key", "text"))
 
     def run(batches):
-        known, flat = shared.value
-        weights = gru.unpack(flat, len(known.token_counts))
+        known = shipped(shared)
+        weights = gru.unpack(flat_model.value, len(known.token_counts))
         held, ready, size = [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -201,7 +200,7 @@ def score_documents(docs: DataFrame, train: DataFrame, key: str = "doc_id", text
     scored = rows.mapInArrow(run, f"key {kind}, row long, n_tokens long, known long, others long, logs double, other_logs double, model double")
 
     def rare(batches):
-        known = shared.value[0]
+        known = shipped(shared)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = split_words(part.column("text"), BLANKS, lower=True)
@@ -210,11 +209,13 @@ def score_documents(docs: DataFrame, train: DataFrame, key: str = "doc_id", text
                 owner = np.searchsorted(words.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(owner)), _signed(hashes[at])], names=["row", "word"])
 
-    tail = rows.select("row", "text").mapInArrow(rare, "row long, word long").join(counts.where(F.col("c") < least), "word")
-    tail = tail.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
-    copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
-    tail = tail.join(copies, "row").select("row", (F.col("more_known") / F.col("copies")).cast("long").alias("more_known"), (F.col("more_logs") / F.col("copies")).alias("more_logs"))
-    out = scored.join(tail, "row", "left").fillna({"more_known": 0, "more_logs": 0.0})
+    out = scored.withColumns({"more_known": F.lit(0), "more_logs": F.lit(0.0)})
+    if least > 1:  # some counts were not sent
+        tail = rows.select("row", "text").mapInArrow(rare, "row long, word long").join(counts.where(F.col("c") < least), "word")
+        tail = tail.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
+        copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
+        tail = tail.join(copies, "row").select("row", (F.col("more_known") / F.col("copies")).cast("long").alias("more_known"), (F.col("more_logs") / F.col("copies")).alias("more_logs"))
+        out = scored.join(tail, "row", "left").fillna({"more_known": 0, "more_logs": 0.0})
     # Words outside the model's vocabulary share its "other" token by their counts.
     other = tokens - float(lexicon.token_counts[1:].sum()) + size - int((lexicon.token > 0).sum()) + 1
     return out.select(

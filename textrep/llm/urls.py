@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textrep.llm.frames import annotate, struct_of
+from textrep.llm.frames import annotate, ship, shipped, struct_of
 
 #: Rules sent to the tasks as a trie; a longer list is joined instead.
 MOST_RULE_BYTES = 32 << 20
@@ -118,10 +118,10 @@ def judge(
     base = pages.select(F.col(key).alias("_key"), host.alias("host"), path.alias("path"))
     if sum(len(r.name.encode()) + 200 for r in rules) > most_bytes:
         return _joined(base, rules, default).withColumnRenamed("_key", key)
-    sent = pages.sparkSession.sparkContext.broadcast(rules)
+    sent = ship(pages, rules)
 
     def start():
-        root = build(sent.value)
+        root = build(shipped(sent))
 
         def work(part: pa.RecordBatch) -> pa.Array:
             hits = [longest(root, h, p) if h else None for h, p in zip(part.column("host").to_pylist(), part.column("path").to_pylist())]
