@@ -32,13 +32,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), least=LEAST_SIMILAR, bands=BANDS)
-    dropped = cut_lineage(found.where(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    out = docs.join(_few(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut_lineage(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    once = out.join(_few(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(_few(repeated), "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    """The document with the smallest id (of equal ids, one text) of each group of near-duplicates.
+
+    Rows are told apart by a number of their own, so texts that share an id go or
+    stay by their own group. Texts without words are copies only of equal rows.
+    """
+    row = free_name(docs, "row")
+    placed = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts = placed.where("doc_id IS NOT NULL").select(F.col(row).alias("row"), "doc_id", "text")
+    found = minhash.near_duplicates(texts.select("row", "text"), "row", least=LEAST_SIMILAR, bands=BANDS)
+    place = F.struct("doc_id", F.xxhash64("text").alias("hash"), "row")
+    empty = F.col("n_shingles") == 0
+    members = found.select("row", F.when(~empty, F.col("component_id")).alias("group"), empty.alias("empty")).join(texts.select("row", place.alias("place")), "row")
+    of = [F.col("group"), *(F.when(F.col("empty"), F.col("place")[c]).alias(f"_{c}") for c in ("doc_id", "hash"))]
+    members = cut_lineage(members.select("row", *of, "place"), "members")
+    first = members.groupBy("group", "_doc_id", "_hash").agg(F.min("place").alias("first")).select(F.col("first.row").alias("row"))
+    dropped = cut_lineage(members.select("row").join(first, "row", "left_anti"), "dropped").withColumnRenamed("row", row)
+    return placed.join(_few(dropped), row, "left_anti").select(*docs.columns)
 
 
 def _few(ids: DataFrame) -> DataFrame:
