@@ -102,6 +102,39 @@ def test_silhouette_equals_brute_force(spark):
     assert clustermetrics.silhouette_of_sample(df.withColumn("c", F.lit(0)), "c").first().silhouette is None
 
 
+def test_silhouette_of_all_rows_equals_brute_force(spark):
+    df, data = points(spark, 90)
+    own = np.append(np.arange(89) % 3, 7)
+    apart = ((data[:, None] - data[None]) ** 2).sum(-1)
+    widths = []
+    for i in range(89):
+        means = [apart[i, (own == c) & (np.arange(90) != i)].mean() for c in (0, 1, 2, 7)]
+        a, b = means[own[i]], min(m for c, m in enumerate(means) if c != own[i])
+        widths.append((b - a) / max(a, b))
+    rows = df.withColumn("cluster", F.when(F.col("row_id") == 89, 7).otherwise(F.col("row_id") % 3))
+    far = rows.withColumn("embedding", F.transform("embedding", lambda x: x + 1e6))
+    for some in (rows, far):
+        got = clustermetrics.silhouette_of_all(some.repartition(3)).first()
+        assert got.silhouette == pytest.approx(sum(widths) / 90, abs=1e-6) and got.sample_size == 90
+    assert clustermetrics.silhouette_of_all(rows.withColumn("cluster", F.lit(0))).first().silhouette is None
+    assert clustermetrics.silhouette_of_all(rows.limit(0)).first().sample_size == 0
+
+
+def test_analysis_without_category_falls_back_to_the_rating(spark, tmp_path):
+    from textrep.plans import analyse, encode
+
+    texts = spark.createDataFrame([(i, f"some words {i % 3} here", float(1 + i % 3)) for i in range(40)], "row_id long, cleaned_text string, rating double")
+    rows = encode.batch_build(texts, batch.hashing_encoder())()
+    assert rows.columns == ["row_id", "rating", "embedding"]
+    folder, results = str(tmp_path / "vectors"), str(tmp_path / "results")
+    rows.write.parquet(f"{folder}/hashing")
+    analyse.run_clustering(spark, folder, "hashing", results)
+    analyse.run_retrieval(spark, folder, "hashing", results)
+    found = {(r.task, r.label_column) for r in analyse.read_label_columns(spark, results).collect()}
+    assert found == {("clustering", "rating"), ("retrieval", "rating")}
+    assert store.read_metrics(spark, f"{results}/metrics").filter("metric = 'n_clusters'").first().value == 3
+
+
 def test_histogram_equals_numpy(spark):
     values = np.r_[np.random.default_rng(0).normal(size=500), [0.0, 0.1, 0.2, 0.3]]
     df = spark.createDataFrame([(float(v),) for v in values], "v double")

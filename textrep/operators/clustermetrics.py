@@ -1,4 +1,4 @@
-"""Cluster agreement (NMI, ARI) and the silhouette of a sample."""
+"""Cluster agreement (NMI, ARI) and the silhouette of a sample or of all rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,3 +155,56 @@ def silhouette(
     """Silhouette of a uniform sample of the table."""
     sample = uniform_sample(df.select(key, cluster, vector), sample_size, key, seed)
     return silhouette_of_sample(sample, cluster, key, vector)
+
+
+def _squared_widths(shared):
+    """Task function: sum of the silhouettes of its rows, and their number."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size, sums, squares, mean = shared.value
+        found, rows = 0.0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = matrix(batch.column("vector")) - mean
+            own = np.searchsorted(known, batch.column("cluster").to_numpy())
+            apart = np.maximum((points * points).sum(axis=1)[:, None] * size + squares - 2 * points @ sums.T, 0.0)
+            here = np.arange(len(points))
+            a = apart[here, own] / np.maximum(size[own] - 1, 1)
+            apart /= size
+            apart[here, own] = np.inf
+            b = apart.min(axis=1)
+            top = np.maximum(a, b)
+            some = (size[own] > 1) & (top > 0)
+            found += float(((b - a)[some] / top[some]).sum())
+            rows += len(points)
+        yield pa.RecordBatch.from_arrays([pa.array([found]), pa.array([rows])], names=["found", "rows"])
+
+    return scan
+
+
+def silhouette_of_all(df: DataFrame, cluster: str = "cluster", vector: str = "embedding") -> DataFrame:
+    """One row ``(silhouette, sample_size)``: silhouette of all rows by squared Euclidean distances.
+
+    The mean squared distance of a row to a cluster follows from the cluster's count,
+    sum and squared norms, so two scans do and no row meets another. Vectors are
+    taken from one of them, so that far-off ones lose no digits. Rows without a
+    cluster are left out. Null when there is one cluster only or every row is its own cluster.
+    """
+    points = df.select(F.col(cluster).cast("long").alias("cluster"), F.col(vector).cast("array<double>").alias("vector")).filter("cluster is not null")
+    one = points.first()
+    if one:
+        origin = F.array(*map(F.lit, one["vector"]))
+        points = points.withColumn("vector", F.zip_with("vector", origin, lambda x, o: x - o))
+    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    stats = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), Summarizer.sum(array_to_vector("vector")).alias("sums"), F.sum(square).alias("squares"))
+    known = sorted(stats.withColumn("sums", vector_to_array("sums")).collect())
+    total = sum(r["size"] for r in known)
+    if not 1 < len(known) < total:
+        return stats.agg(F.lit(None).cast("double").alias("silhouette"), F.lit(total).cast("long").alias("sample_size"))
+    size, sums, squares = (np.array([r[c] for r in known], np.float64) for c in ("size", "sums", "squares"))
+    mean = sums.sum(axis=0) / total
+    squares = squares - 2 * sums @ mean + size * (mean @ mean)
+    shared = df.sparkSession.sparkContext.broadcast((np.array([r["cluster"] for r in known]), size, sums - size[:, None] * mean, squares, mean))
+    parts = points.mapInArrow(_squared_widths(shared), "found double, rows long")
+    return parts.agg((F.sum("found") / F.sum("rows")).alias("silhouette"), F.sum("rows").alias("sample_size"))

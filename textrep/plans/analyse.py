@@ -12,6 +12,7 @@ from textrep.operators import anomaly, clustering, histogram, probe, projection,
 from textrep.operators.classification import confusion_wide
 from textrep.plans.encode import read_run_summary
 from textrep.session import spread
+from textrep.sources.reviews import label_column
 from textrep.sources.runlogs import encoder_runtimes, progress_labels, read_log_lines
 from textrep.sources.store import read_meta, read_metrics, upsert_metrics, write_sorted_csv
 
@@ -28,6 +29,19 @@ def _store(spark: SparkSession, results: str, encoder: str, task: str, row: Data
     upsert_metrics(spark, f"{results}/metrics", report.metric_rows(row.withColumn("encoder", F.lit(encoder)), task))
 
 
+def _label(spark: SparkSession, results: str, encoder: str, task: str, vectors: DataFrame, preferred: str) -> str:
+    """The label column that the vectors have; its name is stored beside the metrics of the task."""
+    label = label_column(vectors, preferred)
+    row = spark.createDataFrame([(encoder, task, label)], "encoder string, task string, label_column string")
+    row.coalesce(1).write.mode("overwrite").json(f"{results}/labels/{task}/{encoder}")
+    return label
+
+
+def read_label_columns(spark: SparkSession, results: str) -> DataFrame:
+    """``(encoder, task, label_column)`` of the tasks that compare with a label."""
+    return spark.read.schema("encoder string, task string, label_column string").option("recursiveFileLookup", "true").json(f"{results}/labels")
+
+
 def validate(spark: SparkSession, table: str, folder: str, encoders: Sequence[str], results: str) -> DataFrame:
     """Checks written as rows; an analysis should not start unless all hold."""
     found = {e: vector_table(spark, folder, e) for e in encoders}
@@ -38,13 +52,15 @@ def validate(spark: SparkSession, table: str, folder: str, encoders: Sequence[st
 
 
 def run_clustering(spark: SparkSession, folder: str, encoder: str, results: str, label: str = "category") -> None:
-    assigned, scores = clustering.evaluate_clustering(vector_table(spark, folder, encoder), label)
+    vectors = vector_table(spark, folder, encoder)
+    assigned, scores = clustering.evaluate_clustering(vectors, _label(spark, results, encoder, "clustering", vectors, label))
     assigned.write.mode("overwrite").parquet(f"{results}/clusters/{encoder}")
     _store(spark, results, encoder, "clustering", scores)
 
 
 def run_retrieval(spark: SparkSession, folder: str, encoder: str, results: str, label: str = "category") -> None:
-    scores = retrieval.evaluate_retrieval(vector_table(spark, folder, encoder), label)
+    vectors = vector_table(spark, folder, encoder)
+    scores = retrieval.evaluate_retrieval(vectors, _label(spark, results, encoder, "retrieval", vectors, label))
     _store(spark, results, encoder, "retrieval", scores)
 
 
@@ -57,7 +73,8 @@ def run_anomaly(spark: SparkSession, table: str, folder: str, encoder: str, resu
     scores, thresholds = anomaly.anomaly_table(vector_table(spark, folder, encoder), share)
     scores.write.mode("overwrite").parquet(f"{target}/scores")
     scores = spark.read.parquet(f"{target}/scores")
-    texts = spark.read.parquet(table).select("row_id", "rating", "category", "title", "cleaned_text")
+    texts = spark.read.parquet(table)
+    texts = texts.select([c for c in ("row_id", "rating", "category", "title", "cleaned_text") if c in texts.columns])
     for flag, order in (("iso_anomaly", F.col("iso_score").asc()), ("inconsistent", F.col("rating_residual").desc())):
         rows = texts.join(scores.filter(flag), "row_id")
         write_sorted_csv(rows, f"{target}/{flag}", order, F.col("row_id"))
@@ -83,7 +100,7 @@ def run_projection(
     wanted = min(sample_size, vectors.count())
     if not (reuse and _stored_rows(spark, target) == wanted):
         clusters = spark.read.parquet(f"{results}/clusters/{encoder}")
-        points = projection.comparison(vectors, label, clusters, sample_size)
+        points = projection.comparison(vectors, _label(spark, results, encoder, "projection", vectors, label), clusters, sample_size)
         points.write.mode("overwrite").parquet(target)
     stored = spark.read.parquet(target)
     _store(spark, results, encoder, "projection", stored.agg(F.count(F.lit(1)).alias("sample_size")))

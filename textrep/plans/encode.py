@@ -19,13 +19,17 @@ from textrep.operators.encoders import batch, glove, mean, tfidf, w2v
 from textrep.sources.store import materialize, overlay, read_latest, write_next
 from textrep.sources.wordvectors import read_word_vectors
 
-# The vector table carries the columns that the analyses compare with.
+# The vector table carries the columns that the analyses compare with, as far as the texts have them.
 KEEP = ("row_id", "category", "rating")
 RUN_SCHEMA = "encoder string, elapsed string, elapsed_seconds double, device string, reused boolean, skipped boolean"
 
 Build = Callable[[], DataFrame]
 
 
+def kept(texts: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in KEEP if c in texts.columns)
+
+
 def save_svd(spark: SparkSession, svd: tfidf.Svd, path: str) -> None:
     """Components as one row per word id, singular values next to them."""
     rows = pa.table({
@@ -45,7 +49,7 @@ def load_svd(spark: SparkSession, path: str) -> tfidf.Svd:
 
 def tfidf_build(texts: DataFrame, models: str, components: int, max_features: int) -> Build:
     def build() -> DataFrame:
-        rows, model, svd = tfidf.encode(texts, components, max_features, text="cleaned_text", keep=KEEP)
+        rows, model, svd = tfidf.encode(texts, components, max_features, text="cleaned_text", keep=kept(texts))
         model.write().overwrite().save(f"{models}/tfidf/weights")
         save_svd(texts.sparkSession, svd, f"{models}/tfidf/svd")
         return rows
@@ -67,7 +71,7 @@ def pretrained_build(texts: DataFrame, source: str, size: int) -> Build:
                 raise
             raise SourceMissing(source) from error
         mean.check_dimension(vectors, size)
-        return mean.encode(texts, tokens("cleaned_text"), vectors, size, KEEP)
+        return mean.encode(texts, tokens("cleaned_text"), vectors, size, kept(texts))
 
     return build
 
@@ -76,7 +80,7 @@ def w2v_build(texts: DataFrame, models: str, size: int, epochs: int, min_count:
     def build() -> DataFrame:
         model = w2v.train(texts, size, window, min_count, epochs)
         model.write().overwrite().save(f"{models}/w2v_trained")
-        return w2v.encode(texts, model, keep=KEEP)
+        return w2v.encode(texts, model, keep=kept(texts))
 
     return build
 
@@ -97,13 +101,13 @@ def glove_build(
         losses = spark.createDataFrame(list(enumerate(model.losses, 1)), "sweep int, loss double")
         losses.write.mode("overwrite").json(f"{path}/losses")
         vectors = spark.read.parquet(f"{path}/vectors")
-        return mean.encode(texts, tokens("cleaned_text"), vectors, size, KEEP)
+        return mean.encode(texts, tokens("cleaned_text"), vectors, size, kept(texts))
 
     return build
 
 
 def batch_build(texts: DataFrame, make_encoder) -> Build:
-    return lambda: batch.encode(texts, make_encoder, keep=KEEP)
+    return lambda: batch.encode(texts, make_encoder, keep=kept(texts))
 
 
 def encode_all(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textrep.functions.vectors import normalized
 from textrep.operators import classification, clustermetrics, histogram, knn, retrieval, select
 from textrep.operators.vocab import label_codes
+from textrep.sources.reviews import label_column
 from textrep.workload.tables import VECTORS_SQL, table, vectors
 
 QUERIES, ORACLE = {}, {}
@@ -114,6 +115,24 @@ def silhouette(spark, folder):
     return clustermetrics.silhouette(vectors(spark, folder)).withColumn("silhouette", F.round("silhouette", 6))
 
 
+@query(f"""WITH {VECTORS_SQL},
+pairs AS (SELECT q.row_id, q.cluster AS own, b.cluster AS other, list_sum([(q.embedding[i] - b.embedding[i]) *
+ (q.embedding[i] - b.embedding[i]) FOR i IN range(1, len(q.embedding) + 1)]) AS d FROM vec q JOIN vec b ON q.row_id <> b.row_id),
+means AS (SELECT row_id, own, other, avg(d) AS m FROM pairs GROUP BY 1, 2, 3),
+ab AS (SELECT row_id, max(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM means GROUP BY 1)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS sample_size FROM ab""")
+def silhouette_all(spark, folder):
+    """All rows, by squared distances."""
+    return clustermetrics.silhouette_of_all(vectors(spark, folder)).withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query(f"WITH {VECTORS_SQL} SELECT rating AS label, cluster, count(*) AS n FROM vec GROUP BY 1, 2")
+def label_fallback(spark, folder):
+    """The rating is the label of vectors without a category."""
+    rows = vectors(spark, folder)
+    return clustermetrics.contingency(rows, label_column(rows, "category"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
 WHERE l_extendedprice <= (SELECT quantile_cont(l_extendedprice, 0.01) FROM lineitem)""")
 def quantile_flags(spark, folder):
