@@ -73,18 +73,18 @@ def linear_probe_softmax(spark, folder):
 
 @query
 def reduced_vectors(spark, folder):
-    return projection.reduce_dimensions(vectors(spark, folder), 16, sample_size=300)
+    return projection.reduce_dimensions(vectors(spark, folder))
 
 
 @query
 def projection_2d(spark, folder):
     base = vectors(spark, folder)
-    return projection.comparison(base, "label", base.select("row_id", "cluster"), sample_size=400)
+    return projection.comparison(base, "label", base.select("row_id", "cluster"))
 
 
 @query
 def projection_limits(spark, folder):
-    return projection.axis_limits(projection.comparison(vectors(spark, folder), "label", sample_size=400))
+    return projection.axis_limits(projection.comparison(vectors(spark, folder), "label"))
 
 
 def checked(sql: str):
@@ -120,14 +120,14 @@ quota AS (SELECT label, CAST(floor(share) + CASE WHEN row_number() OVER (ORDER B
   <= {size} - (SELECT sum(floor(share)) FROM share) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM share)"""
 
 
-@checked(f"""WITH {VECTORS_SQL}, {_quota_sql("CAST(label AS VARCHAR)", "400")}
+@checked(f"""WITH {VECTORS_SQL}, {_quota_sql("CAST(label AS VARCHAR)", "(SELECT least(50000, n) FROM total)")}
 SELECT row_id, label, cluster FROM (SELECT row_id, CAST(vec.label AS VARCHAR) AS label, cluster, quota, row_number() OVER
 (PARTITION BY vec.label ORDER BY {sql_hash('row_id')}, row_id) AS r FROM vec JOIN quota ON CAST(vec.label AS VARCHAR) = quota.label)
 WHERE r <= quota""")
 def projection_sample(spark, folder):
     """The rows of the two-dimensional comparison with their labels and clusters."""
     base = vectors(spark, folder)
-    points = projection.comparison(base, "label", base.select("row_id", "cluster"), sample_size=400)
+    points = projection.comparison(base, "label", base.select("row_id", "cluster"))
     return points.filter("x is not null and y is not null").select("row_id", "label", "cluster")
 
 

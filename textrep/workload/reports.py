@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textrep.functions.formats import duration_seconds, elapsed_text, human_bytes
 from textrep.operators import report
 from textrep.operators.encoders import batch, tfidf
+from textrep.operators.vocab import numbered
 from textrep.plans.encode import load_svd, save_svd
 from textrep.plans.job import run
 from textrep.plans.preprocess import preprocess
@@ -286,19 +287,15 @@ def metric_store(spark, folder):
     return store.read_metrics(spark, path)
 
 
-@query("""SELECT event_id, event_type, value, CAST(row_number() OVER (ORDER BY value DESC, event_id) - 1 AS BIGINT) AS place FROM events
-QUALIFY place < 50""")
+@query("""SELECT event_id, event_type, value, CAST(row_number() OVER (ORDER BY value DESC, event_id) - 1 AS BIGINT) AS place FROM events""")
 def sorted_csv(spark, folder):
-    """Highest values first in a CSV; the first lines of its files in file order."""
+    """Highest values first in a CSV; every line with its place in the order of the files."""
     path = work_path(spark, "sorted")
     rows = table(spark, folder, "events").select("event_id", "event_type", "value")
     store.write_sorted_csv(rows, path, F.col("value").desc(), "event_id")
     back = spark.read.schema("event_id long, event_type string, value double").option("header", True).csv(path)
-    at = [F.col("_metadata.file_name"), F.monotonically_increasing_id()]
-    top = back.withColumn("at", F.struct(*at)).orderBy("at").limit(50)
-    placed = top.groupBy().agg(F.sort_array(F.collect_list(F.struct("at", "event_id", "event_type", "value"))).alias("l"))
-    return placed.select(F.posexplode("l").alias("place", "e")).select(
-        F.col("place").cast("long").alias("place"), "e.event_id", "e.event_type", "e.value")
+    lines = back.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return numbered(lines, [F.col("file"), F.col("block"), F.col("line")], "place").select("event_id", "event_type", "value", "place")
 
 
 @query(f"""WITH {CLEANED_SQL} SELECT category, count(*) AS rows, CAST(sum(length(cleaned_text)) AS BIGINT) AS chars FROM kept GROUP BY 1""")
