@@ -86,6 +86,14 @@ def test_beyond_the_bounds_of_what_is_sent(spark, monkeypatch):
     check(spark, random_rows(5, 300, 80))
 
 
+def test_hot_segments_and_others(spark, monkeypatch):
+    line = " ".join(f"l{i}" for i in range(25))
+    rows = random_rows(6, 400, 40) + [(100 + i, f"a{i} {line} b{i}") for i in range(40)]
+    for hot in (1, 30):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        check(spark, rows)
+
+
 def test_a_factor_is_the_longest_copy(spark):
     source = [f"s{i}" for i in range(60)]
     rows = [(1, " ".join(source)), (2, " ".join(["a", *source[10:40], "b", *source[30:60]]))]

@@ -34,6 +34,8 @@ BLOCK = 13
 #: Words of the runs whose least hash is the anchor of a block.
 RUN = 5
 MOST_ID_BYTES = MOST_MARK_BYTES = MOST_SPAN_BYTES = 32 << 20
+#: A segment with more than one in this many of all anchors is sent to the tasks; there are fewer than this many.
+HOT = 1000
 
 _SEGMENT = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -249,7 +251,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
 
     segment = ["mark", "seg"]
     first = F.struct("id", "body", F.col("at").alias("place"))
-    segments = cut_lineage(anchors.groupBy(segment).agg(F.min(first).alias("low"), F.max("id").alias("last")), "segments")
+    segments = cut_lineage(anchors.groupBy(segment).agg(F.min(first).alias("low"), F.max("id").alias("last"), F.count("*").alias("rows")), "segments")
     several = segments.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     wanted = segments.join(several, "mark", "left_semi").groupBy("low.id", "low.body").agg(F.collect_list("low.place").alias("wanted"))
     chosen = firsts.join(_of_text(cut_lineage(wanted, "segments-of-texts"), "wanted", 4, MOST_MARK_BYTES), row)
@@ -263,9 +265,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", blo
         return F.struct(at.alias("at"), n.alias("n"), low["id"].alias("id"), low["body"].alias("body"), low["place"].alias("place"))
 
     known = segments.join(parts, segment, "left").where("low.id < last OR parts IS NOT NULL").drop("last")
+    known = cut_lineage(known, "known-segments")
+    many = F.col("rows") * HOT > anchors.count()
+    hot = F.broadcast(known.where(many))
+    met = anchors.join(hot, segment).unionByName(anchors.join(hot.select(segment), segment, "left_anti").join(known.where(~many), segment))
     single = F.transform("parts", lambda x: hit(F.col("at") + x["off"], F.lit(1), x["low"]))
     hits = F.when(F.col("low.id") < F.col("id"), F.array(hit(F.col("at"), F.col("n"), F.col("low")))).otherwise(single)
-    hits = anchors.join(known, segment).select(*row, hits.alias("hits")).where("hits IS NOT NULL")
+    hits = met.select(*row, hits.alias("hits")).where("hits IS NOT NULL")
     hits = hits.groupBy(row).agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
