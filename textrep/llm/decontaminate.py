@@ -46,7 +46,8 @@ class Patterns:
     shift: np.ndarray  # by block
     bucket: np.ndarray  # sorted blocks at the end of the windows
     member: np.ndarray  # windows in the order of ``bucket``
-    first_item: np.ndarray  # items of window i: items[first_item[i] : first_item[i + 1]]
+    item_list: np.ndarray  # list of items of each window; windows with the same items share one
+    first_item: np.ndarray  # items of list i: items[first_item[i] : first_item[i + 1]]
     items: np.ndarray
 
     def code(self, hashes: np.ndarray) -> np.ndarray:
@@ -63,13 +64,26 @@ class Patterns:
         return (spread >> np.uint64(40)).astype(np.int64) & (len(self.shift) - 1)
 
 
+def _item_lists(first: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(list of each window, first item of each list, items of the lists)``, equal lists once."""
+    sizes = np.diff(first)
+    alone, of = np.unique(items[first[:-1]][sizes == 1], return_inverse=True)
+    lists, known = np.empty(len(sizes), np.int64), {}
+    lists[sizes == 1] = of.reshape(-1)
+    for i in np.flatnonzero(sizes > 1):
+        lists[i] = len(alone) + known.setdefault(items[first[i] : first[i + 1]].tobytes(), len(known))
+    held = [alone, *(np.frombuffer(k, items.dtype) for k in known)]
+    lengths = np.concatenate([np.ones(len(alone), np.int64), np.array([len(x) for x in held[1:]], np.int64)])
+    return lists, np.concatenate([[0], np.cumsum(lengths)]), np.concatenate(held)
+
+
 def patterns(words: np.ndarray, item: np.ndarray) -> Patterns:
     """Tables for windows (rows of word hashes), each of the item beside it."""
     width = words.shape[1]
     distinct, place = np.unique(words, axis=0, return_inverse=True)
     pairs = np.unique(np.stack([place.reshape(-1), item], axis=1), axis=0)
     first = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
-    made = Patterns(width, distinct, np.unique(distinct), np.zeros(1, np.int64), None, None, first, pairs[:, 1])
+    made = Patterns(width, distinct, np.unique(distinct), np.zeros(1, np.int64), None, None, *_item_lists(first, pairs[:, 1]))
     size = 1 << int(np.clip(np.ceil(np.log2(8 * distinct.size + 2)), 10, 24))
     span = min(2, width)
     made.shift = np.full(size, width - span + 1, np.int64)
@@ -144,10 +158,11 @@ def search(words: Words, tables: list[Patterns], names: np.ndarray) -> pa.Struct
         start, window = occurrences(hashes, words.first, p)
         np.add.at(edge, start, 1)
         np.subtract.at(edge, start + p.width, 1)
-        sizes = p.first_item[window + 1] - p.first_item[window]
-        place = np.repeat(p.first_item[window], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        text = np.searchsorted(words.first, np.repeat(start, sizes), "right") - 1
-        found.append(np.unique(np.stack([text, p.items[place]], axis=1), axis=0))
+        text = np.searchsorted(words.first, start, "right") - 1
+        text, lists = np.unique(np.stack([text, p.item_list[window]], axis=1), axis=0).T
+        sizes = p.first_item[lists + 1] - p.first_item[lists]
+        place = np.repeat(p.first_item[lists], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found.append(np.unique(np.stack([np.repeat(text, sizes), p.items[place]], axis=1), axis=0))
     hit = np.cumsum(edge)[:-1] > 0
     opens, closes = hit.copy(), hit.copy()
     if len(hit):
