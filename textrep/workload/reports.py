@@ -303,8 +303,7 @@ def preprocess_job(spark, folder):
     """The whole job: JSON-lines files in, cleaned Parquet table out."""
     source, output = work_path(spark, "raw"), work_path(spark, "cleaned")
     raw = raw_reviews(spark, folder)
-    raw.select("rating", "text", "user_id", F.col("category").alias("asin"), "row_id").coalesce(1).sortWithinPartitions(
-        "row_id").drop("row_id").write.json(source)
+    _write_in_order(raw.select("rating", "text", "user_id", F.col("category").alias("asin"), "row_id"), "row_id", source)
     _as_jsonl(spark, source)
     preprocess(spark, source, output)
     kept = reviews.read_columns(spark, output, "asin", "cleaned_text")
@@ -327,6 +326,18 @@ def analysis_job(spark, folder):
         complete = complete & F.col(f"`{column}`").isNotNull()
     return rows.select("encoder", "rows", "dim", "file_size", "umap_sample_size", complete.alias("complete"))
 
+def _write_in_order(rows, key: str, folder: str) -> None:
+    """JSON lines without the key, whose order is that of the files and of the lines in a file."""
+    rows.repartitionByRange(key).sortWithinPartitions(key).drop(key).write.json(folder)
+
+
+def _write_for_batches(rows, folder: str, batches: int = 4) -> int:
+    """JSON lines in at least as many files as ``batches``; returns the files of one batch."""
+    rows = rows if rows.rdd.getNumPartitions() >= batches else rows.repartition(batches)
+    rows.write.json(folder)
+    return -(-len(rows.sparkSession.read.text(folder).inputFiles()) // batches)
+
+
 
 def _as_jsonl(spark, folder: str) -> None:
     """Spark names its JSON files .json; the raw layout expects .jsonl."""
