@@ -20,3 +20,11 @@ def test_raw_lines_in_order_over_many_files(spark, tmp_path):
     files = sorted(tmp_path.glob("raw/*.json"))
     assert len(files) > 1
     assert "".join(f.read_text() for f in files).split() == [f'{{"x":{3 * i}}}' for i in range(400)]
+
+
+def test_files_of_a_stream_follow_the_table(spark, tmp_path):
+    """There were four files whatever the table, each written by one task."""
+    rows = spark.range(100).repartition(9)
+    assert reports._write_for_batches(rows, str(tmp_path / "a")) == 3
+    assert len(list(tmp_path.glob("a/*.json"))) == 9
+    assert reports._write_for_batches(rows.coalesce(1), str(tmp_path / "b")) == 1

@@ -338,7 +338,6 @@ def _write_for_batches(rows, folder: str, batches: int = 4) -> int:
     return -(-len(rows.sparkSession.read.text(folder).inputFiles()) // batches)
 
 
-
 def _as_jsonl(spark, folder: str) -> None:
     """Spark names its JSON files .json; the raw layout expects .jsonl."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -382,8 +381,8 @@ FROM cleaned GROUP BY 1""")
 def stream_statistics(spark, folder):
     """Running counts per source after every file was seen."""
     source, out, state = (work_path(spark, n) for n in ("stream-in", "stream-counts", "stream-state"))
-    raw_reviews(spark, folder).select("rating", "text", F.col("user_id").alias("category")).repartition(4).write.json(source)
-    lines = spark.readStream.schema("rating string, text string, category string").option("maxFilesPerTrigger", 1).json(source)
+    files = _write_for_batches(raw_reviews(spark, folder).select("rating", "text", F.col("user_id").alias("category")), source)
+    lines = spark.readStream.schema("rating string, text string, category string").option("maxFilesPerTrigger", files).json(source)
     stream.write_counts(stream.running_statistics(lines), out, state).awaitTermination()
     return spark.read.parquet(out)
 
