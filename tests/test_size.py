@@ -28,3 +28,11 @@ def test_files_of_a_stream_follow_the_table(spark, tmp_path):
     assert reports._write_for_batches(rows, str(tmp_path / "a")) == 3
     assert len(list(tmp_path.glob("a/*.json"))) == 9
     assert reports._write_for_batches(rows.coalesce(1), str(tmp_path / "b")) == 1
+
+
+def test_draws_are_those_of_single_tokens():
+    import numpy as np
+
+    owner, places = np.array([0, 0, 1, 2]), np.array([0, 17, 3, 0])
+    keys = ["x", None, 12]
+    assert w2v._draws(keys, owner, places, 42).tolist() == [w2v.draw(keys[o], p, 42) for o, p in zip(owner, places)]
