@@ -36,3 +36,14 @@ def test_draws_are_those_of_single_tokens():
     owner, places = np.array([0, 0, 1, 2]), np.array([0, 17, 3, 0])
     keys = ["x", None, 12]
     assert w2v._draws(keys, owner, places, 42).tolist() == [w2v.draw(keys[o], p, 42) for o, p in zip(owner, places)]
+
+
+@pytest.mark.parametrize("name", ["word_vector_text", "stored_model", "tfidf_weights"])
+def test_word_lists_are_written_not_cached(spark, tmp_path, name):
+    """A cached partition of word lists has several times the bytes of its texts, and one task reads it."""
+    from textrep.workload import all_queries
+
+    texts = [(i, " ".join(f"word{(i * j) % 50} other{j}" for j in range(1, 9)), "en" if i % 2 else "de", "s") for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = all_queries()[name](spark, str(tmp_path))
+    assert "InMemoryTableScan" not in found._jdf.queryExecution().toString() and found.count()
