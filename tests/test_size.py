@@ -30,6 +30,28 @@ def test_files_of_a_stream_follow_the_table(spark, tmp_path):
     assert reports._write_for_batches(rows.coalesce(1), str(tmp_path / "b")) == 1
 
 
+def test_only_rare_words_are_joined(spark, monkeypatch):
+    """Rows without a key, or with a repeated one, keep their own means; each once got those of all its namesakes."""
+    monkeypatch.setattr(mean, "MATRIX_ROWS", 1)
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0]), ("c", [6.0, 6.0])], "token string, vector array<double>")
+    texts = spark.createDataFrame(
+        [(0, ["a", "a", "b", "z"]), (0, ["c"]), (None, ["b", "c"]), (None, None), (3, [])] + [(9, ["a", "z"])] * 3, "row_id long, tokens array<string>")
+    got = sorted(([r.row_id, *r.embedding] for r in mean.encode(texts, "tokens", vectors, 2).collect()), key=str)
+    assert [x for r in got for x in r] == [x if x is None else pytest.approx(x) for x in (
+        0, 2 / 3, 1.0, 0, 6.0, 6.0, 3, 0, 0, 9, 1.0, 0, 9, 1.0, 0, 9, 1.0, 0, None, 0, 0, None, 3.0, 4.5)]
+
+
+def test_rows_longer_than_a_batch_are_summed(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), ("c", [4.0])], "token string, vector array<double>")
+        texts = spark.createDataFrame([(i, ["a"] * 5 + ["b"] * i + ["c"] * 2) for i in range(8)], "row_id long, tokens array<string>")
+        got = {r.row_id: r.embedding[0] for r in mean.encode(texts, "tokens", vectors, 1, matrix_bytes=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: pytest.approx((5 + 2 * i + 8) / (7 + i)) for i in range(8)}
+
+
 def test_draws_are_those_of_single_tokens():
     import numpy as np
 
