@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from textrep.functions.text import words
 from textrep.functions.vectors import list_array, matrix
 from textrep.operators.vocab import ranked_vocabulary, token_counts
+from textrep.session import cut_lineage
 
 # Size of the vocabulary and of the reduced vectors, extra
 # components and number of power steps of the SVD.
@@ -221,12 +222,10 @@ def encode(
 ) -> tuple[DataFrame, PipelineModel, Svd]:
     """Fit on the whole table and map every row; also returns the fitted parts.
 
-    Words and sparse rows are kept for the repeated scans, in memory or on the
-    executors' disks, and are rebuilt from the table if an executor is lost.
+    Words and sparse rows are written for the repeated scans.
     """
-    listed = listed_words(texts, stop_words, text, keep).persist()
+    listed = cut_lineage(listed_words(texts, stop_words, text, keep), "words")
     model, vocab = fit_weights(listed, max_features)
-    rows = weigh(model, listed, keep).persist()
+    rows = cut_lineage(weigh(model, listed, keep), "sparse-rows")
     svd = truncated_svd(rows, len(vocab), components)
-    listed.unpersist()
     return project(rows, svd, keep), model, svd
