@@ -70,3 +70,21 @@ def test_word_lists_are_written_not_cached(spark, tmp_path, name):
     spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     found = all_queries()[name](spark, str(tmp_path))
     assert "InMemoryTableScan" not in found._jdf.queryExecution().toString() and found.count()
+
+
+def test_word2vec_vectors_stay_off_the_driver(spark):
+    """Spark's trainer kept all weights there; words of a text with each other are closer, however many blocks train."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups = [[f"{g}{i}" for i in range(10)] for g in "abc"]
+    texts = [(i if i % 9 else None, " ".join(rng.choice(groups[i % 3], 15))) for i in range(300)]
+    df = spark.createDataFrame(texts, "row_id long, cleaned_text string")
+    for blocks in (1, 3):
+        first, again = (
+            {r.token: np.array(r.vector) for r in w2v.train(x, 8, epochs=8, partitions=blocks, sample=None).vectors.collect()}
+            for x in (df, df.repartition(5)))
+        assert first.keys() == {w for g in groups for w in g} and all((first[w] == again[w]).all() for w in first)
+        unit = np.array([first[w] / np.linalg.norm(first[w]) for g in groups for w in g])
+        near = (unit @ unit.T).reshape(3, 10, 3, 10).mean(axis=(1, 3))
+        assert (np.diag(near) > 0.3 + near[~np.eye(3, dtype=bool)].max()).all()

@@ -79,7 +79,7 @@ def pretrained_build(texts: DataFrame, source: str, size: int) -> Build:
 def w2v_build(texts: DataFrame, models: str, size: int, epochs: int, min_count: int, window: int) -> Build:
     def build() -> DataFrame:
         model = w2v.train(texts, size, window, min_count, epochs)
-        model.write().overwrite().save(f"{models}/w2v_trained")
+        model.vectors.write.mode("overwrite").parquet(f"{models}/w2v_trained/vectors")
         return w2v.encode(texts, model, keep=kept(texts))
 
     return build
