@@ -295,6 +295,33 @@ def test_language_model_knows_most_tokens_of_a_large_vocabulary(spark):
     assert math.isclose(got[1].base_score, got[2].base_score) and got[1].score > got[2].score + 5
 
 
+def test_large_logits_and_lookup_of_words():
+    """Sums beyond the range of the numbers; training tasks held the counts of all frequent words."""
+    model = gru.initial(np.ones(gru.SIZE))
+    states = np.ones((3, gru.STATE), np.float32)
+    target = np.array([0, 100, 500])
+    plain = gru.output(model, states, target)[0]
+    raised = model | {"cb": model["cb"] + 500, "wb": model["wb"] - 500}
+    assert np.allclose(gru.output(raised, states, target)[0], plain, atol=1e-3)
+    random = np.random.default_rng(0)
+    hashes = random.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2)
+    lexicon = scoring.Lexicon(np.append(hashes, scoring.END), np.arange(5001, 0, -1))
+    assert len(lexicon.tokens_only().words) == gru.SIZE - 1
+    for known in (lexicon, lexicon.tokens_only(), scoring.Lexicon(hashes[:0], np.zeros(0, np.int64))):
+        asked = np.concatenate([hashes, hashes + np.uint64(1), [scoring.END]])
+        at, there = known.find(asked)
+        assert (there == np.isin(asked, known.words)).all() and (known.words[at[there]] == asked[there]).all()
+
+
+def test_a_rare_end_is_a_known_token(spark, monkeypatch):
+    """Where other words filled the list of counts that are sent, the end was taken for unknown."""
+    monkeypatch.setattr(scoring, "MOST_SENT", 2)
+    docs = spark.createDataFrame([(1, "a a a a b b b b c"), (2, "c d"), (2, "c d")], "doc_id long, text string")
+    got = {r.doc_id: r for r in scoring.score_documents(docs, docs.where("doc_id = 1")).collect()}
+    assert (got[1].n_known, got[1].n_tokens, got[2].n_known, got[2].n_tokens) == (10, 10, 2, 3)
+    assert math.isclose(got[2].base_score, math.log10(2 / 15) * 2 + math.log10(1 / 15))
+
+
 def test_embeddings(spark):
     random = np.random.default_rng(3)
     base = random.normal(size=(300, 16))

@@ -18,6 +18,8 @@ WINDOW = 32
 #: Streams trained side by side.
 LANES = 512
 RATE = 0.01
+#: Numbers worked on at once; they fit a core's cache.
+BLOCK = 1 << 17
 
 
 _borders: dict[int, np.ndarray] = {}
@@ -65,54 +67,112 @@ def unpack(flat: np.ndarray, size: int) -> dict[str, np.ndarray]:
 
 def step(p: dict, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """Next state from the token before and the state; also what the gradients need."""
-    n = h.shape[1]
-    gate, own = p["x"][before], h @ p["u"]
-    zr = 1 / (1 + np.exp(-(gate[:, : 2 * n] + own[:, : 2 * n])))
-    z, r = zr[:, :n], zr[:, n:]
-    new = np.tanh(gate[:, 2 * n :] + r * own[:, 2 * n :])
-    return new + z * (h - new), z, r, new, own[:, 2 * n :]
+    lanes, n = h.shape
+    gate, own = p["x"].take(before, 0), h @ p["u"]
+    zr = np.empty((2, lanes, n), gate.dtype)
+    np.add(*(x[:, : 2 * n].reshape(lanes, 2, n).swapaxes(0, 1) for x in (gate, own)), out=zr)
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r = zr
+    new = r * own[:, 2 * n :]
+    new += gate[:, 2 * n :]
+    np.tanh(new, out=new)
+    after = h - new
+    after *= z
+    after += new
+    return after, z, r, new, own[:, 2 * n :]
+
+
+def _choices(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray, grads: tuple | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of the chosen row of ``weights`` for each state; with ``grads`` also the gradient of the states.
+
+    Works on blocks of rows that stay in the cache. The largest logit is taken off only
+    where the sums leave the range of the numbers.
+    """
+    found, back = np.empty(len(states), states.dtype), np.empty_like(states) if grads else None
+    ones, high = np.ones(len(bias), states.dtype), max(BLOCK // len(bias), 1)
+    for low in range(0, len(states), high):
+        own, to = states[low : low + high], chosen[low : low + high]
+        rows = np.arange(len(own))
+        logit = own @ weights.T
+        logit += bias
+        picked = logit[rows, to]
+        with np.errstate(over="ignore"):
+            share = np.exp(logit)
+            total = share @ ones
+        if not (total.min() > 1e-20 and total.max() < 1e20):
+            most = logit.max(axis=1)
+            picked -= most
+            share = np.exp(logit - most[:, None])
+            total = share @ ones
+        found[low : low + high] = picked - np.log(total)
+        if grads:
+            share[rows, to] -= total
+            part = np.reciprocal(total)
+            grads[0][...] += share.T @ (own * part[:, None])
+            grads[1][...] += part @ share
+            back[low : low + high] = (share @ weights) * part[:, None]
+    return found, back
 
 
 def output(p: dict, states: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target; with ``grads`` also the gradient of the states (of the summed loss)."""
-    rows = np.arange(len(target))
     begins = borders(len(p["wb"]))
     group = np.searchsorted(begins, target, "right") - 1
-    member = target - begins[group]
-    logit = states @ p["cw"] + p["cb"]
-    logit -= logit.max(axis=1, keepdims=True)
-    share = np.exp(logit)
-    total = share.sum(axis=1, keepdims=True)
-    found = logit[rows, group] - np.log(total[:, 0])
-    back = None
-    if grads is not None:
-        share /= total
-        share[rows, group] -= 1
-        grads["cw"] += states.T @ share
-        grads["cb"] += share.sum(axis=0)
-        back = share @ p["cw"].T
-    order = np.argsort(group, kind="stable")
+    found, back = _choices(states, p["cw"].T, p["cb"], group, grads and (grads["cw"].T, grads["cb"]))
+    order = np.argsort(group.astype(np.uint16), kind="stable")
     edges = np.searchsorted(group[order], np.arange(len(begins)))
+    own, member = states.take(order, 0), (target - begins[group])[order]
+    more, moved = np.empty_like(found), None if grads is None else np.empty_like(own)
     for c in range(len(begins) - 1):
-        at, held = order[edges[c] : edges[c + 1]], slice(begins[c], begins[c + 1])
-        if not len(at):
+        at, held = slice(edges[c], edges[c + 1]), slice(begins[c], begins[c + 1])
+        if edges[c] == edges[c + 1]:
             continue
-        own = states[at]
-        logit = own @ p["ww"][held].T + p["wb"][held]
-        logit -= logit.max(axis=1, keepdims=True)
-        share = np.exp(logit)
-        total = share.sum(axis=1, keepdims=True)
-        here = np.arange(len(at))
-        found[at] += logit[here, member[at]] - np.log(total[:, 0])
+        more[at], change = _choices(own[at], p["ww"][held], p["wb"][held], member[at], grads and (grads["ww"][held], grads["wb"][held]))
         if grads is not None:
-            share /= total
-            share[here, member[at]] -= 1
-            grads["ww"][held] += share.T @ own
-            grads["wb"][held] += share.sum(axis=0)
-            back[at] += share @ p["ww"][held]
+            moved[at] = change
+    found[order] += more
+    if grads is not None:
+        back[order] += moved
     return found, back
 
 
+def _run_sums(values: np.ndarray, order: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums of rows in the runs of ``order`` that begin at ``edges``; first of at most 8 rows each, all pieces at once."""
+    sizes = np.diff(edges, append=len(order))
+    pieces = -(-sizes // 8)
+    first = np.cumsum(pieces) - pieces
+    begin = np.repeat(edges - 8 * first, pieces) + 8 * np.arange(pieces.sum())
+    length = np.minimum(np.repeat(edges + sizes, pieces) - begin, 8)
+    sums = values.take(order[begin], 0)
+    for k in range(1, 8):
+        more = np.flatnonzero(length > k)
+        sums[more] += values.take(order[begin[more] + k], 0)
+    return np.add.reduceat(sums, first)
+
+
+def _adam(p: np.ndarray, g: np.ndarray, one: np.ndarray, two: np.ndarray, scale: float, count: int, rate: float) -> None:
+    """One step of all four arrays in place, in blocks of rows that stay in the cache; ``g`` is used up."""
+    high = max(BLOCK // (4 * g[0].size), 1)
+    for low in range(0, len(g), high):
+        at = slice(low, low + high)
+        d, first, second = g[at], one[at], two[at]
+        d *= np.float32(scale)
+        first += np.float32(0.1) * (d - first)
+        d *= d
+        d -= second
+        d *= np.float32(0.01)
+        second += d
+        np.multiply(second, np.float32(1 / (1 - 0.99**count)), out=d)
+        np.sqrt(d, out=d)
+        d += np.float32(1e-6)
+        np.divide(first, d, out=d)
+        d *= np.float32(rate / (1 - 0.9**count))
+        p[at] -= d
+
+
 def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = RATE) -> dict[str, np.ndarray]:
     """One pass over token arrays (each ends with its end token) by truncated backpropagation."""
     tokens = np.concatenate(texts)
@@ -132,7 +192,7 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES,
         steps = range(low, min(low + window, length))
         held = []
         for t in steps:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
+            h[fresh[t]] = 0
             after, *parts = step(p, before[t], h)
             held.append((h, *parts))
             h = after
@@ -147,42 +207,46 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES,
         real = flat >= 0
         back = np.zeros((len(flat), h.shape[1]), np.float32)
         back[real] = output(p, states.reshape(len(flat), -1)[real], flat[real], grads)[1]
-        back = back.reshape(states.shape)
-        carry, inputs = np.zeros_like(h), np.empty((len(held), *p["x"][before[steps.start]].shape), np.float32)
-        n = h.shape[1]
+        n, back = h.shape[1], back.reshape(states.shape)
+        old, z, r, new, own = (np.stack(x) for x in zip(*held))
+        rest = 1 - z
+        by_z = old - new
+        by_z *= z
+        by_z *= rest
+        by_new = 1 - new * new
+        by_new *= rest
+        by_r = 1 - r
+        by_r *= r
+        by_r *= own
+        carry = np.zeros_like(h)
+        inputs, inner = (np.empty((len(held), len(h), 3 * n), np.float32) for _ in range(2))
         for i in range(len(held) - 1, -1, -1):
-            old, z, r, new, own = held[i]
             d = back[i] + carry
-            an = d * (1 - z) * (1 - new * new)
-            az = d * (old - new) * z * (1 - z)
-            ar = an * own * r * (1 - r)
-            inputs[i, :, :n], inputs[i, :, n : 2 * n], inputs[i, :, 2 * n :] = az, ar, an
-            inner = np.concatenate([az, ar, an * r], axis=1)
-            grads["u"] += old.T @ inner
-            carry = d * z + inner @ p["u"].T
+            an = d * by_new[i]
+            np.multiply(d, by_z[i], out=inner[i, :, :n])
+            np.multiply(an, by_r[i], out=inner[i, :, n : 2 * n])
+            np.multiply(an, r[i], out=inner[i, :, 2 * n :])
+            inputs[i, :, 2 * n :] = an
+            carry = inner[i] @ p["u"].T
+            d *= z[i]
+            carry += d
             carry[fresh[steps.start + i]] = 0
+        inputs[:, :, : 2 * n] = inner[:, :, : 2 * n]
+        grads["u"] += old.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
         rows = before[steps.start : steps.stop].reshape(-1)
         order = np.argsort(rows, kind="stable")
         edges = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        grads["x"] = np.add.reduceat(inputs.reshape(len(rows), -1)[order], edges)
+        read = rows[order][edges]  # the words that were read
+        grads["x"] = _run_sums(inputs.reshape(len(rows), -1), order, edges)
         count += 1
-        scale = np.float32(1.0 / max(real.sum(), 1))
+        scale = 1.0 / max(real.sum(), 1)
         for k, g in grads.items():
-            at = rows[order][edges] if k == "x" else slice(None)  # the words that were read
-            g *= scale
-            one, two = first[k][at], second[k][at]
-            one += np.float32(0.1) * (g - one)
-            g *= g
-            g -= two
-            g *= np.float32(0.01)
-            two += g
             if k == "x":
-                first[k][at], second[k][at] = one, two
-            move = np.sqrt(two / np.float32(1 - 0.99**count))
-            move += np.float32(1e-6)
-            np.divide(one, move, out=move)
-            move *= np.float32(rate / (1 - 0.9**count))
-            p[k][at] -= move
+                some = [a.take(read, 0) for a in (p[k], first[k], second[k])]
+                _adam(some[0], g, *some[1:], scale, count, rate)
+                p[k][read], first[k][read], second[k][read] = some
+            else:
+                _adam(p[k], g, first[k], second[k], scale, count, rate)
     return p
 
 

@@ -8,6 +8,7 @@ same weights; the weighted mean of their weights starts the next round.
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -81,11 +82,34 @@ class Lexicon:
         self.token[self.words == END] = STOP
         self.token_counts = np.bincount(self.token, self.counts, size)
         self.logs = np.log10(self.counts + 1.0)
+        self._index()
+
+    def _index(self) -> None:
+        """Where the words of each head of a hash begin; about one word has it."""
+        bits = max(len(self.words).bit_length(), 1)
+        self.shift = np.uint64(64 - bits)
+        heads = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.first = np.minimum(np.searchsorted(self.words, heads), max(len(self.words) - 1, 0)).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word and whether it is there."""
-        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-        return at, (self.words[at] == hashes) if len(self.words) else np.zeros(len(hashes), bool)
+        at = self.first[hashes >> self.shift]
+        if not len(self.words):
+            return at, np.zeros(len(hashes), bool)
+        behind = np.flatnonzero(self.words[at] < hashes)
+        while len(behind):
+            behind = behind[at[behind] < len(self.words) - 1]
+            at[behind] += 1
+            behind = behind[self.words[at[behind]] < hashes[behind]]
+        return at, self.words[at] == hashes
+
+    def tokens_only(self) -> Lexicon:
+        """The words that the model knows one by one."""
+        known = self.token != OTHER
+        some = copy.copy(self)
+        some.words, some.counts, some.token, some.logs = self.words[known], self.counts[known], self.token[known], self.logs[known]
+        some._index()
+        return some
 
 
 def _texts(part: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +121,7 @@ def _texts(part: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray, np.
 def learn(docs: DataFrame, lexicon: Lexicon, text: str, key: str, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Weights after one pass over all documents, in ``rounds`` parts."""
     spark = docs.sparkSession
-    shared = ship(docs, lexicon)
+    shared = ship(docs, lexicon.tokens_only())
     size = len(lexicon.token_counts)
     parts = max(int(lexicon.counts.sum()) // (rounds * PART_TOKENS), 1)
     model = gru.initial(lexicon.token_counts)
@@ -161,7 +185,7 @@ def score_documents(docs: DataFrame, train: DataFrame, key: str = "doc_id", text
     for p, n in sorted(((r["p"], r["n"]) for r in steps)):
         if sum(r["n"] for r in steps if r["p"] >= p) > MOST_SENT:
             least = 2 ** (p + 1)
-    frequent = counts.where(F.col("c") >= least).toArrow()
+    frequent = counts.where((F.col("c") >= least) | (F.col("word") == int(END))).toArrow()
     sent = frequent.column("c").to_numpy()
     lexicon = Lexicon(frequent.column("word").to_numpy().view(np.uint64), sent, vocabulary_size(size))
     model = learn(train, lexicon, text, key, rounds)
@@ -181,7 +205,9 @@ def score_documents(docs: DataFrame, train: DataFrame, key: str = "doc_id", text
                 logs = np.where(there, known.logs[at] if len(known.logs) else 0.0, 0.0)
                 token[hashes == END] = STOP
                 sums = [np.add.reduceat(x, first[:-1]) for x in (there.astype(np.int64), (token == OTHER).astype(np.int64), logs, np.where(token == OTHER, logs, 0.0))]
-                ready.append([part.column("key"), part.column("row"), pa.array(n), *map(pa.array, sums)])
+                rare = np.flatnonzero(~there)
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first), pa.int32()), _signed(hashes[rare]))
+                ready.append([part.column("key"), part.column("row"), pa.array(n), *map(pa.array, sums), rare])
                 held += np.split(token, first[1:-1])
                 size += len(token)
                 if size >= HELD_TOKENS:
@@ -190,30 +216,21 @@ def score_documents(docs: DataFrame, train: DataFrame, key: str = "doc_id", text
         if held:
             yield finished(weights, ready, held)
 
-    names = ["key", "row", "n_tokens", "known", "others", "logs", "other_logs", "model"]
+    names = ["key", "row", "n_tokens", "known", "others", "logs", "other_logs", "rare", "model"]
 
     def finished(weights, ready, held):
         columns = [pa.concat_arrays([r[i] for r in ready]) for i in range(len(ready[0]))]
         return pa.RecordBatch.from_arrays([*columns, pa.array(gru.score(weights, held) / math.log(10))], names=names)
 
     kind = rows.schema["key"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"key {kind}, row long, n_tokens long, known long, others long, logs double, other_logs double, model double")
-
-    def rare(batches):
-        known = shipped(shared)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = split_words(part.column("text"), BLANKS, lower=True)
-                hashes = words.hashes()
-                at = np.flatnonzero(~known.find(hashes)[1])
-                owner = np.searchsorted(words.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(owner)), _signed(hashes[at])], names=["row", "word"])
+    scored = rows.mapInArrow(run, f"key {kind}, row long, n_tokens long, known long, others long, logs double, other_logs double, rare array<long>, model double")
 
     out = scored.withColumns({"more_known": F.lit(0), "more_logs": F.lit(0.0)})
     if least > 1:  # some counts were not sent
-        tail = rows.select("row", "text").mapInArrow(rare, "row long, word long").join(counts.where(F.col("c") < least), "word")
+        scored = cut_lineage(scored, "scored")
+        tail = scored.select("row", F.explode("rare").alias("word")).join(counts.where(F.col("c") < least), "word")
         tail = tail.groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
-        copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
+        copies = scored.groupBy("row").agg(F.count("*").alias("copies"))
         tail = tail.join(copies, "row").select("row", (F.col("more_known") / F.col("copies")).cast("long").alias("more_known"), (F.col("more_logs") / F.col("copies")).alias("more_logs"))
         out = scored.join(tail, "row", "left").fillna({"more_known": 0, "more_logs": 0.0})
     # Words outside the model's vocabulary share its "other" token by their counts.
