@@ -347,6 +347,28 @@ def test_embeddings_of_several_widths(spark):
     assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 10: (1, 10), 11: (0, 11), 12: (0, 12), 20: (1, 10), 30: (0, 30)}
 
 
+def test_stages_send_few_texts_at_once(spark, folder):
+    """Batches of 10,000 whole texts filled an executor's memory."""
+    before = spark.conf.get(corpus_pipeline.BATCH)
+
+    def most(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = spark.range(0, 2000, 1, 1)
+    try:
+        docs = spark.createDataFrame([(1, "a text of words", "en")], "doc_id long, text string, lang string")
+        for stage in (corpus_pipeline.language_id, corpus_pipeline.near_dedup, corpus_pipeline.decontamination, corpus_pipeline.encoding):
+            spark.conf.set(corpus_pipeline.BATCH, "10000")
+            stage(spark, docs, folder)
+            assert max(r.n for r in rows.mapInArrow(most, "n long").collect()) <= 500
+        spark.conf.set(corpus_pipeline.BATCH, "7")
+        corpus_pipeline.encoding(spark, docs, folder)
+        assert spark.conf.get(corpus_pipeline.BATCH) == "7"
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
+
+
 def test_near_dedup_stage_keeps_texts_that_share_an_id(spark, folder):
     stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
     other = " ".join(f"other{i}" for i in range(30))
