@@ -6,6 +6,7 @@ import os
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -295,6 +296,27 @@ def test_language_model_knows_most_tokens_of_a_large_vocabulary(spark):
     assert math.isclose(got[1].base_score, got[2].base_score) and got[1].score > got[2].score + 5
 
 
+def test_long_texts_and_rare_choices_of_the_model():
+    """A step of a long text counted all tokens held before it; odds below the range of the numbers."""
+    model = gru.initial(np.ones(gru.SIZE))
+    tokens = np.random.default_rng(0).integers(0, gru.SIZE, 30000)
+    times = []
+    for n in (7500, 30000):
+        begin = time.process_time()
+        gru.score(model, [tokens[:n]])
+        times.append(time.process_time() - begin)
+    assert times[1] < 8 * times[0]
+    texts = [tokens[i : i + 1 + i % 3] for i in range(gru.SCORED + 5)]
+    some = [0, 7, gru.SCORED - 1, gru.SCORED + 4]
+    assert np.allclose(gru.score(model, texts)[some], [gru.score(model, [texts[i]])[0] for i in some], atol=1e-3)
+    model["cb"][0], model["wb"][1] = -200, -200
+    grads = {k: np.zeros_like(v) for k, v in model.items()}
+    found, back = gru.output(model, np.ones((3, gru.STATE), np.float32), np.array([1, 100, 0]), grads)
+    assert found[0] < -390 and -250 < found[2] < -190 and -20 < found[1]
+    assert np.isfinite(back).all() and all(np.isfinite(g).all() for g in grads.values())
+    assert math.isclose(grads["cb"][0], -2, abs_tol=1e-3)  # two of three chose the first class
+
+
 def test_large_logits_and_lookup_of_words():
     """Sums beyond the range of the numbers; training tasks held the counts of all frequent words."""
     model = gru.initial(np.ones(gru.SIZE))

@@ -18,6 +18,8 @@ WINDOW = 32
 #: Streams trained side by side.
 LANES = 512
 RATE = 0.01
+#: Texts scored side by side.
+SCORED = 1024
 #: Numbers worked on at once; they fit a core's cache.
 BLOCK = 1 << 17
 
@@ -88,32 +90,38 @@ def step(p: dict, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
 def _choices(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray, grads: tuple | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of the chosen row of ``weights`` for each state; with ``grads`` also the gradient of the states.
 
-    Works on blocks of rows that stay in the cache. The largest logit is taken off only
-    where the sums leave the range of the numbers.
+    Works on blocks of rows that stay in the cache. The exponentials are taken without the
+    bias, whose own ones weigh the sums. Only where the sums leave the range of the numbers,
+    the bias is added and the largest logit taken off first.
     """
     found, back = np.empty(len(states), states.dtype), np.empty_like(states) if grads else None
-    ones, high = np.ones(len(bias), states.dtype), max(BLOCK // len(bias), 1)
+    with np.errstate(over="ignore"):
+        odds = np.exp(bias)
+    usual = odds.min() > 1e-20 and odds.max() < 1e20
+    high = max(BLOCK // len(bias), 1)
     for low in range(0, len(states), high):
         own, to = states[low : low + high], chosen[low : low + high]
-        rows = np.arange(len(own))
-        logit = own @ weights.T
-        logit += bias
-        picked = logit[rows, to]
-        with np.errstate(over="ignore"):
-            share = np.exp(logit)
-            total = share @ ones
-        if not (total.min() > 1e-20 and total.max() < 1e20):
-            most = logit.max(axis=1)
+        rows, factor = np.arange(len(own)), odds
+        share = own @ weights.T
+        picked = share[rows, to] + bias[to]
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(share, out=share)
+            total = share @ factor
+        if not (usual and total.min() > 1e-20 and total.max() < 1e20):
+            share = own @ weights.T
+            share += bias
+            most, factor = share.max(axis=1), np.ones_like(bias)
             picked -= most
-            share = np.exp(logit - most[:, None])
-            total = share @ ones
+            share -= most[:, None]
+            np.exp(share, out=share)
+            total = share @ factor
         found[low : low + high] = picked - np.log(total)
         if grads:
-            share[rows, to] -= total
-            part = np.reciprocal(total)
-            grads[0][...] += share.T @ (own * part[:, None])
-            grads[1][...] += part @ share
-            back[low : low + high] = (share @ weights) * part[:, None]
+            share[rows, to] -= total / factor[to]
+            part, wide = np.reciprocal(total), factor[:, None]
+            grads[0][...] += (share.T @ (own * part[:, None])) * wide
+            grads[1][...] += (part @ share) * factor
+            back[low : low + high] = (share @ (weights * wide)) * part[:, None]
     return found, back
 
 
@@ -133,9 +141,11 @@ def output(p: dict, states: np.ndarray, target: np.ndarray, grads: dict | None =
         more[at], change = _choices(own[at], p["ww"][held], p["wb"][held], member[at], grads and (grads["ww"][held], grads["wb"][held]))
         if grads is not None:
             moved[at] = change
-    found[order] += more
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    found += more.take(place)
     if grads is not None:
-        back[order] += moved
+        back += moved.take(place, 0)
     return found, back
 
 
@@ -150,26 +160,29 @@ def _run_sums(values: np.ndarray, order: np.ndarray, edges: np.ndarray) -> np.nd
     for k in range(1, 8):
         more = np.flatnonzero(length > k)
         sums[more] += values.take(order[begin[more] + k], 0)
-    return np.add.reduceat(sums, first)
+    found, many = sums.take(first, 0), np.flatnonzero(pieces > 1)
+    if len(many):  # most runs are one piece
+        parts = np.flatnonzero(np.repeat(pieces > 1, pieces))
+        found[many] = np.add.reduceat(sums.take(parts, 0), np.cumsum(pieces[many]) - pieces[many])
+    return found
 
 
 def _adam(p: np.ndarray, g: np.ndarray, one: np.ndarray, two: np.ndarray, scale: float, count: int, rate: float) -> None:
     """One step of all four arrays in place, in blocks of rows that stay in the cache; ``g`` is used up."""
-    high = max(BLOCK // (4 * g[0].size), 1)
+    high, pace = max(BLOCK // (4 * g[0].size), 1), rate / (1 - 0.9**count)
     for low in range(0, len(g), high):
         at = slice(low, low + high)
         d, first, second = g[at], one[at], two[at]
-        d *= np.float32(scale)
-        first += np.float32(0.1) * (d - first)
+        first *= np.float32(0.9)
+        first += d * np.float32(0.1 * scale)
         d *= d
-        d -= second
-        d *= np.float32(0.01)
+        d *= np.float32(0.01 * scale * scale)
+        second *= np.float32(0.99)
         second += d
-        np.multiply(second, np.float32(1 / (1 - 0.99**count)), out=d)
-        np.sqrt(d, out=d)
-        d += np.float32(1e-6)
+        np.sqrt(second, out=d)
+        d *= np.float32(1 / (math.sqrt(1 - 0.99**count) * pace))
+        d += np.float32(1e-6 / pace)
         np.divide(first, d, out=d)
-        d *= np.float32(rate / (1 - 0.9**count))
         p[at] -= d
 
 
@@ -190,25 +203,22 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES,
     h, count = np.zeros((lanes, p["u"].shape[0]), np.float32), 0
     for low in range(0, length, window):
         steps = range(low, min(low + window, length))
-        held = []
-        for t in steps:
+        old, z, r, new, own = (np.empty((len(steps), *h.shape), np.float32) for _ in range(5))
+        for i, t in enumerate(steps):
             h[fresh[t]] = 0
-            after, *parts = step(p, before[t], h)
-            held.append((h, *parts))
-            h = after
+            after, z[i], r[i], new[i], own[i] = step(p, before[t], h)
+            old[i], h = h, after
         grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
-        states = np.concatenate([*(x[0] for x in held[1:]), h]).reshape(len(held), *h.shape)
+        states = np.concatenate([old[1:], h[None]])
         for i, t in enumerate(steps[1:]):  # a state that was cleared was used before that
             cleared = fresh[t]
             if cleared.any():
-                z, new, old = held[i][1], held[i][3], held[i][0]
-                states[i][cleared] = (new + z * (old - new))[cleared]
+                states[i][cleared] = (new[i] + z[i] * (old[i] - new[i]))[cleared]
         flat = target[steps.start : steps.stop].reshape(-1)
         real = flat >= 0
         back = np.zeros((len(flat), h.shape[1]), np.float32)
         back[real] = output(p, states.reshape(len(flat), -1)[real], flat[real], grads)[1]
         n, back = h.shape[1], back.reshape(states.shape)
-        old, z, r, new, own = (np.stack(x) for x in zip(*held))
         rest = 1 - z
         by_z = old - new
         by_z *= z
@@ -219,20 +229,20 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES,
         by_r *= r
         by_r *= own
         carry = np.zeros_like(h)
-        inputs, inner = (np.empty((len(held), len(h), 3 * n), np.float32) for _ in range(2))
-        for i in range(len(held) - 1, -1, -1):
+        inputs, inner = (np.empty((len(steps), len(h), 3 * n), np.float32) for _ in range(2))
+        for i in range(len(steps) - 1, -1, -1):
             d = back[i] + carry
             an = d * by_new[i]
             np.multiply(d, by_z[i], out=inner[i, :, :n])
             np.multiply(an, by_r[i], out=inner[i, :, n : 2 * n])
             np.multiply(an, r[i], out=inner[i, :, 2 * n :])
             inputs[i, :, 2 * n :] = an
+            grads["u"] += old[i].T @ inner[i]
             carry = inner[i] @ p["u"].T
             d *= z[i]
             carry += d
             carry[fresh[steps.start + i]] = 0
         inputs[:, :, : 2 * n] = inner[:, :, : 2 * n]
-        grads["u"] += old.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
         rows = before[steps.start : steps.stop].reshape(-1)
         order = np.argsort(rows, kind="stable")
         edges = np.flatnonzero(np.diff(rows[order], prepend=-1))
@@ -252,16 +262,22 @@ def train(p: dict[str, np.ndarray], texts: list[np.ndarray], lanes: int = LANES,
 
 def score(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Log probability (natural) of each whole token array; the state goes on from window to window."""
-    sizes = np.array([len(t) for t in texts])
-    order = np.argsort(-sizes, kind="stable")
-    starts = np.cumsum(sizes[order]) - sizes[order]
-    tokens = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int64)
-    found, live = np.zeros(len(texts)), len(texts)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    order, out = np.argsort(-sizes, kind="stable"), np.empty(len(texts))
+    for low in range(0, len(texts), SCORED):  # texts of about one length side by side
+        some = order[low : low + SCORED]
+        out[some] = _score(p, [texts[i] for i in some], sizes[some])
+    return out
+
+
+def _score(p: dict[str, np.ndarray], texts: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """The same for texts whose ``sizes`` descend."""
+    starts, tokens = np.cumsum(sizes) - sizes, np.concatenate(texts)
+    found, live, at = np.zeros(len(texts)), len(texts), 0
     h, before = np.zeros((live, p["u"].shape[0]), np.float32), np.full(live, len(p["wb"]))
-    sizes, at = sizes[order], 0
     while live:
-        states, targets, owners = [], [], []
-        while live and sum(map(len, targets)) < 1 << 15:
+        states, targets, owners, held = [], [], [], 0
+        while live and held < 1 << 15:
             live = int(np.searchsorted(-sizes, -at, "left"))
             if not live:
                 break
@@ -271,8 +287,7 @@ def score(p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
             targets.append(before)
             owners.append(np.arange(live))
             at += 1
+            held += live
         if targets:
             found += np.bincount(np.concatenate(owners), output(p, np.concatenate(states), np.concatenate(targets))[0], len(found))
-    out = np.empty(len(texts))
-    out[order] = found
-    return out
+    return found
