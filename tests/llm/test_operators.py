@@ -369,6 +369,52 @@ def test_embeddings_of_several_widths(spark):
     assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 10: (1, 10), 11: (0, 11), 12: (0, 12), 20: (1, 10), 30: (0, 30)}
 
 
+@pytest.mark.parametrize("room, most", [(60, 1500), (16, 1 << 18)])
+def test_embeddings_in_branches_and_rounds(spark, monkeypatch, room, most):
+    """Each vector was shuffled once for every leaf, and its shuffle files stayed."""
+    monkeypatch.setattr(embeddings, "ROUND", most)
+    random = np.random.default_rng(4)
+    base = random.normal(size=(200, 8))
+    rows = np.concatenate([base, base[:40] + random.normal(size=(40, 8)) * 0.1, base[0] + random.normal(size=(90, 8)) * 0.05, -base[:1] * 0]).astype(np.float32)
+    rows[3, 2], rows[7] = 0.0, rows[3]
+    rows[7, 2] = -0.0
+    df = spark.createDataFrame([(i if i != 5 else None, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<float>")
+    ids = np.array([i for i in range(len(rows) - 1) if i != 5])
+    unit = rows[ids].astype(float) / np.linalg.norm(rows[ids].astype(float), axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    root = ids
+    for _ in ids:
+        root = np.minimum(root, np.where(link, root[None, :], len(rows)).min(axis=1))
+    want = {i: (n, r, i == r) for i, n, r in zip(ids.tolist(), link.sum(axis=1).tolist(), root.tolist())} | {330: (0, 330, True), None: (0, None, True)}
+    found = embeddings.near_duplicates(df, leaf=24, block=10, room=room)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found.collect()} == want
+
+
+def test_branches_hold_every_node_with_pairs():
+    """A branch has ``room`` vectors at most; a leaf above that is cut into pairs of blocks."""
+    tree = embeddings.Tree(np.zeros((2, 1)), np.array([0, 1, 1, 2, 2]), np.zeros(5), np.array([1, 3, -1, -1, -1]))
+    found = embeddings.branches([tree], [np.array([100, 50, 70, 1, 49])], 50)
+    assert [(b.node, b.parts, b.low, b.high) for b in found] == [(1, 1, 0, 0)] + [(2, 3, a, b) for a in range(3) for b in range(a, 3)]
+    assert [b.node for b in embeddings.branches([tree], [np.array([100, 50, 70, 1, 49])], 49)][0] == 4
+    assert sum(embeddings.in_rounds(found, 60), []) == found and all(sum(b.rows for b in r) <= 100 for r in embeddings.in_rounds(found, 60))
+
+
+def test_shuffle_files_go_with_what_they_made(spark):
+    from textrep.session import FREE_CONF, cut_lineage
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    def held():
+        files = blocks.getAllFiles()
+        return {files.apply(i).getPath() for i in range(files.size()) if "shuffle_" in files.apply(i).getName()}
+    def left(free):
+        before = held()
+        assert cut_lineage(spark.range(100_000).repartition(3, "id"), "rows", free=free).count() == 100_000
+        return [p for p in held() - before if spark._jvm.java.io.File(p).length() > 10_000]
+
+    assert left(False) and not left(True) and spark.conf.get(FREE_CONF, "false") == "false"
+
+
 def test_stages_send_few_texts_at_once(spark, folder):
     """Batches of 10,000 whole texts filled an executor's memory."""
     before = spark.conf.get(corpus_pipeline.BATCH)
