@@ -88,3 +88,35 @@ def test_word2vec_vectors_stay_off_the_driver(spark):
         unit = np.array([first[w] / np.linalg.norm(first[w]) for g in groups for w in g])
         near = (unit @ unit.T).reshape(3, 10, 3, 10).mean(axis=(1, 3))
         assert (np.diag(near) > 0.3 + near[~np.eye(3, dtype=bool)].max()).all()
+
+
+def test_matrix_of_the_mean_reaches_the_tasks_piece_by_piece(spark, monkeypatch):
+    """The driver held the whole matrix several times, 600 MB for 110,000 words."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    vectors = {f"w{i}": rng.normal(size=5).astype(np.float32) for i in range(60)}
+    table = spark.createDataFrame([(w, v.tolist()) for w, v in vectors.items()], "token string, vector array<float>")
+    texts = [(i, [f"w{j}" for j in rng.integers(0, 70, size=i)]) for i in range(40)]
+    df = spark.createDataFrame(texts, "row_id long, tokens array<string>").coalesce(1)
+    monkeypatch.setattr(mean, "SENT_BYTES", 200)
+    monkeypatch.setattr(mean, "SLICE_ROWS", 7)
+    sent = mean._sent(table, 5)
+    assert len(sent) == 6 and sum(len(x.value[0]) for x in sent) == 60 and max(x.value[1].nbytes for x in sent) < 600
+    for room in (1 << 20, 400):
+        for r in mean.encode(df, "tokens", table, 5, matrix_bytes=room).collect():
+            known = [vectors[w].astype(float) for w in texts[r.row_id][1] if w in vectors]
+            assert r.embedding == pytest.approx(np.mean(known or [np.zeros(5)], axis=0).tolist(), abs=1e-6)
+
+
+def test_word2vec_state_is_kept_in_the_width_it_is_trained_in():
+    """Vectors trained as floats were stored as doubles, in tables rewritten each turn."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    vectors, squares = rng.normal(size=(9, 4)).astype(np.float32), rng.random(9)
+    column = w2v._state_bytes(vectors, squares)
+    for part, low in ((column, 0), (column.slice(2), 2)):
+        rows = w2v._state_rows(part, 4)
+        assert (rows["vector"] == vectors[low:]).all() and (rows["squares"] == squares[low:]).all()
+    assert column.nbytes < 9 * (4 * 4 + 8) + 100 and not len(w2v._state_rows(column.slice(9), 4))
