@@ -38,6 +38,8 @@ MAX_FEATURES = 10_000
 COMPONENTS = 300
 OVERSAMPLE = 10
 POWER_STEPS = 5
+# Words with the smallest ids, the most frequent ones, whose weights are multiplied as a dense block.
+DENSE_WORDS = 512
 # Words whose partial sums travel as one row.
 WORDS_PER_BLOCK = 128
 SEED = 42
@@ -87,21 +89,44 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
 
 
-def _project(indices: np.ndarray, values: np.ndarray, offsets: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Sparse rows times a dense matrix, rows without words giving zeros."""
-    out = np.zeros((len(offsets) - 1, basis.shape[1]))
-    filled = np.flatnonzero(np.diff(offsets))
-    if len(filled):
-        out[filled] = np.add.reduceat(values[:, None] * basis[indices], offsets[filled], axis=0)
-    return out
+class _Slice:
+    """Some sparse rows: the frequent words as a dense block, the others row by row, so that no product of all non-zero values is made."""
 
+    def __init__(self, indices: np.ndarray, values: np.ndarray, offsets: np.ndarray, features: int) -> None:
+        rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        often = indices < DENSE_WORDS
+        self.head = np.zeros((len(offsets) - 1, min(DENSE_WORDS, features)))
+        self.head[rows[often], indices[often]] = values[often]
+        self.words, self.weights = indices[~often], values[~often]
+        ends = np.r_[0, np.cumsum(~often)][offsets].tolist()
+        self.filled = [(row, a, b) for row, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
 
-def _row_slices(offsets: np.ndarray, entries: int = 16_384) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``entries`` non-zero values each."""
+    def times(self, basis: np.ndarray) -> np.ndarray:
+        """The rows times a dense matrix, rows without words giving zeros."""
+        out = self.head @ basis[: self.head.shape[1]]
+        for row, a, b in self.filled:
+            out[row] += self.weights[a:b] @ basis.take(self.words[a:b], axis=0)
+        return out
+
+    def add_transposed(self, image: np.ndarray, total: np.ndarray) -> None:
+        """``total`` plus the transposed rows times ``image``; a row has a word once."""
+        total[: self.head.shape[1]] += self.head.T @ image
+        for row, a, b in self.filled:
+            total[self.words[a:b]] += self.weights[a:b, None] * image[row]
+
+
+def _slices(indices: np.ndarray, values: np.ndarray, offsets: np.ndarray, features: int) -> Iterator[tuple[int, int, _Slice]]:
+    for a, b in _row_slices(offsets):
+        lo, hi = offsets[a], offsets[b]
+        yield a, b, _Slice(indices[lo:hi], values[lo:hi], offsets[a : b + 1] - lo, features)
+
+
+def _row_slices(offsets: np.ndarray, entries: int = 131_072, rows: int = 1_024) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and about ``entries`` non-zero values each."""
     start = 0
     while start < len(offsets) - 1:
         stop = int(np.searchsorted(offsets, offsets[start] + entries, side="right")) - 1
-        stop = min(max(stop, start + 1), len(offsets) - 1)
+        stop = min(max(stop, start + 1), start + rows, len(offsets) - 1)
         yield start, stop
         start = stop
 
@@ -116,17 +141,9 @@ def _gram_product(shared):
         for batch in batches:
             indices, offsets = _lists(batch.column(0))
             values, _ = _lists(batch.column(1))
-            for a, b in _row_slices(offsets):
-                lo, hi = offsets[a], offsets[b]
-                if lo == hi:
-                    continue
-                seen = True
-                idx, val, ends = indices[lo:hi], values[lo:hi], offsets[a : b + 1] - lo
-                image = _project(idx, val, ends, basis)
-                order = np.argsort(idx, kind="stable")
-                row_of = np.repeat(np.arange(b - a), np.diff(ends))[order]
-                starts = np.flatnonzero(np.r_[True, np.diff(idx[order]) > 0])
-                total[idx[order][starts]] += np.add.reduceat(val[order, None] * image[row_of], starts, axis=0)
+            seen = seen or bool(offsets[-1])
+            for _, _, some in _slices(indices, values, offsets, len(basis)):
+                some.add_transposed(some.times(basis), total)
         if seen:
             padded = np.zeros((_blocks(len(basis)) * WORDS_PER_BLOCK, basis.shape[1]))
             padded[: len(basis)] = total
@@ -205,9 +222,8 @@ def project(rows: DataFrame, svd: Svd, keep: Sequence[str] = ("row_id",), dtype:
             n = len(keep)
             indices, offsets = _lists(batch.column(n))
             values, _ = _lists(batch.column(n + 1))
-            for a, b in _row_slices(offsets):
-                lo, hi = offsets[a], offsets[b]
-                image = _project(indices[lo:hi], values[lo:hi], offsets[a : b + 1] - lo, basis)
+            for a, b, some in _slices(indices, values, offsets, len(basis)):
+                image = some.times(basis)
                 columns = [batch.column(i).slice(a, b - a) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, list_array(image, arrow_type)], names=[*keep, "embedding"]
