@@ -494,3 +494,18 @@ def test_alignment_is_checked(spark):
     for other in (right.limit(1), right.union(right), right.limit(0)):
         with pytest.raises(ValueError):
             report.align(left, other)
+
+
+def test_glove_leaves_no_shuffle_of_a_half_sweep(spark, letters):
+    """Every half sweep left its vectors, once for each part, in shuffle files until the driver's garbage was collected."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = blocks.getAllFiles()
+        return sum(spark._jvm.java.io.File(files.apply(i).getPath()).length() for i in range(files.size()) if "shuffle_" in files.apply(i).getName())
+
+    top, cells = letters
+    cells.count()
+    before = held()
+    assert len(glove.train(cells, 14, size=200, epochs=2, tolerance=-1, parts=8).losses) == 2
+    assert held() - before < 300_000
